@@ -26,6 +26,20 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM doc LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+#: A turn's marks take 12 + 1 + 11 characters; each control string in a text takes a backslash more.
+OP3 = r"""
+WITH turns AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+  UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')
+SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(24 + length(role) + length(text) + len(regexp_extract_all(text, '<\\*\|'))) AS BIGINT) AS formatted_chars
+FROM turns GROUP BY conv_id
+"""
+
 
 def _matches(kind: str, pattern: str) -> str:
     """Spans of a kind: what stands before a match is all the pieces and matches before it."""
@@ -66,4 +80,4 @@ FROM documents d LEFT JOIN joined USING (doc_id)
 """
 
 
-ORACLE = {"op2_decontaminate": OP2, "op9_secret_scan": _op9()}
+ORACLE = {"op3_chat_format": OP3, "op2_decontaminate": OP2, "op9_secret_scan": _op9()}
