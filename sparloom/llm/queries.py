@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, packing, secrets, sharding, simhash
+from . import chat, decontam, langid, packing, secrets, sharding, simhash, toxicity
 from .common import read_table
 
 SHARDS = 24
@@ -46,6 +46,12 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", langid.held_out("doc_id", 5, 0))
+    learnt = toxicity.train(docs.where("not held_out"), read_table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, learnt, keep=["doc_id", "held_out"])
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     found = secrets.find_secrets(docs).select("doc_id", "secrets")
