@@ -35,10 +35,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
-    """df without the columns of these names, in any letter case: an operator's own columns replace them."""
-    drop = {n.lower() for n in names}
-    return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in drop])
+def aside(df: DataFrame, names: Iterable[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """df with its columns of these names (in any letter case) put under other names, and what gives them their names back
+    and leaves the other columns of df alone in the result."""
+    taken = {n.lower() for n in names}
+    new = {c: f"_aside_{i}" for i, c in enumerate(df.columns) if c.lower() in taken}
+    moved = df.withColumnsRenamed(new) if new else df
+    return moved, lambda out: out.select(*[F.col(f"`{new.get(c, c)}`").alias(c) for c in df.columns])
 
 
 def binary(column: pa.Array) -> pa.LargeBinaryArray:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, htmltext, langid, packing, secrets, sharding, simhash, toxicity
+from . import chat, decontam, htmltext, langid, media, packing, secrets, sharding, simhash, toxicity
 from .common import read_table
 
 SHARDS = 24
@@ -46,6 +46,11 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op6_webp_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = media.store(read_table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return media.read_back(stored, keep=["doc_id", "n_bytes"])
+
+
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return htmltext.extract_main_text(pages, htmltext.train(pages), keep=["page_id", "url"])

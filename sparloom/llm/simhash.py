@@ -181,35 +181,50 @@ def components(links: DataFrame) -> DataFrame:
     return links.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
+def with_fingerprints(docs: DataFrame, text_col: str, shingle: int, keep: list[str]) -> DataFrame:
+    """Columns `keep` of docs with `fp` long, the fingerprint as a signed number."""
+
+    def add(batch: pa.RecordBatch) -> dict:
+        return {"fp": pa.array([signed(fingerprint(t or b"", shingle)) for t in binary(batch.column(text_col)).to_pylist()], pa.int64())}
+
+    return map_arrow(docs, add, [T.StructField("fp", T.LongType())], text_col, keep)
+
+
+def hexed(fp: str = "fp"):
+    return F.lpad(F.lower(F.hex(fp)), 16, "0")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, tree_rows: int = TREE_ROWS) -> DataFrame:
     """One row per document: id_col, fingerprint string (16 hex digits), component_id (the smallest id of its group).
 
     A null or empty text has fingerprint zero and is linked like any other; repeated rows stay rows of one group; other
     columns are left out. Only ids and fingerprints are shuffled.
     """
-
-    def add(batch: pa.RecordBatch) -> dict:
-        return {"fp": pa.array([signed(fingerprint(t or b"", shingle)) for t in binary(batch.column("_text")).to_pylist()], pa.int64())}
-
     slim = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
-    prints = checkpoint(map_arrow(slim, add, [T.StructField("fp", T.LongType())], "_text", ["_id"]))
+    prints = checkpoint(with_fingerprints(slim, "_text", shingle, ["_id"]))
     distinct = checkpoint(prints.groupBy("fp").agg(F.min("_id").alias("least")))
     roots = components(link(distinct.select("fp"), radius, tree_rows))
     linked = distinct.join(roots, distinct.fp == roots.node).select("fp", "root", "least")
     smallest = linked.groupBy("root").agg(F.min("least").alias("component"))
     linked = linked.join(smallest, "root").select("fp", "component")
     group = distinct.join(linked, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id"))
-    hexed = F.lpad(F.lower(F.hex("fp")), 16, "0")
-    return prints.join(group, "fp").select(F.col("_id").alias(id_col), hexed.alias("fingerprint"), "component_id")
+    return prints.join(group, "fp").select(F.col("_id").alias(id_col), hexed().alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, **how) -> DataFrame:
     """docs with one row of each group: the one with the smallest id, or any one of them where rows share that id.
 
-    Documents without an id can't be told apart and stay.
+    Documents without an id can't be told apart and stay. Ids to drop are joined to the documents, by a broadcast only where
+    Spark finds them small.
     """
-    groups = near_duplicates(docs, id_col, text_col, **how)
-    kept = groups.where(F.col(id_col) == F.col("component_id")).groupBy(id_col).agg(F.count(F.lit(1)).alias("_rows"), F.countDistinct("component_id"))
-    once = docs.join(kept.where("_rows = 1").select(id_col), id_col, "left_semi")
-    more = docs.join(kept.where("_rows > 1").select(id_col), id_col, "left_semi").dropDuplicates([id_col])
-    return once.unionByName(more).unionByName(docs.where(F.col(id_col).isNull()))
+    groups = checkpoint(near_duplicates(docs, id_col, text_col, shingle, **how))
+    repeated = groups.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col)
+    dropped = groups.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
+    if repeated.isEmpty():
+        return docs.join(dropped, id_col, "left_anti").select(docs.columns)
+    once = docs.join(dropped.union(repeated), id_col, "left_anti").select(docs.columns)
+    # Rows that share an id may differ in text: fingerprints tell which of them stand for a group.
+    stand = groups.where(F.col(id_col) == F.col("component_id")).select(id_col, F.col("fingerprint").alias("_print")).distinct()
+    more = with_fingerprints(docs.join(repeated, id_col, "left_semi"), text_col, shingle, docs.columns).withColumn("_print", hexed())
+    more = more.join(stand, [id_col, "_print"], "left_semi").dropDuplicates([id_col]).select(docs.columns)
+    return once.unionByName(more)
