@@ -32,7 +32,7 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     rank = F.create_map(*[x for i, f in enumerate(files) for x in (F.lit(_name(f)), F.lit(i).cast("long"))]) if files else F.create_map()
     name = F.regexp_extract(F.col("_metadata.file_path"), r"[^/]+$", 0)
     found = text.select("value", name.alias("_name"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
-    return found.select("value", F.element_at(rank, "_name").alias("file") if len(files) > 1 else F.lit(0).cast("long").alias("file"), "block", "line")
+    return found.select("value", F.element_at(rank, F.col("_name")).alias("file") if len(files) > 1 else F.lit(0).cast("long").alias("file"), "block", "line")
 
 
 def _name(path: str) -> str:
