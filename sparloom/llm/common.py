@@ -39,9 +39,10 @@ def aside(df: DataFrame, names: Iterable[str]) -> tuple[DataFrame, Callable[[Dat
     """df with its columns of these names (in any letter case) put under other names, and what gives them their names back
     and leaves the other columns of df alone in the result."""
     taken = {n.lower() for n in names}
-    new = {c: f"_aside_{i}" for i, c in enumerate(df.columns) if c.lower() in taken}
+    new = {c: f"_aside_{i}_{c}" for i, c in enumerate(df.columns) if c.lower() in taken}
     moved = df.withColumnsRenamed(new) if new else df
-    return moved, lambda out: out.select(*[F.col(f"`{new.get(c, c)}`").alias(c) for c in df.columns])
+    columns = df.columns
+    return moved, lambda out: out.select(*[F.col(f"`{new.get(c, c)}`").alias(c) for c in columns])
 
 
 def binary(column: pa.Array) -> pa.LargeBinaryArray:

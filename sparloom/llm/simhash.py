@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import binary, checkpoint, map_arrow
+from .common import aside, binary, checkpoint, map_arrow
 
 BITS = 64
 RADIUS = 2
@@ -218,13 +218,14 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Spark finds them small.
     """
     groups = checkpoint(near_duplicates(docs, id_col, text_col, shingle, **how))
+    docs, back = aside(docs, ["fp", "_print"])
     repeated = groups.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col)
     dropped = groups.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
     if repeated.isEmpty():
-        return docs.join(dropped, id_col, "left_anti").select(docs.columns)
+        return back(docs.join(dropped, id_col, "left_anti"))
     once = docs.join(dropped.union(repeated), id_col, "left_anti").select(docs.columns)
     # Rows that share an id may differ in text: fingerprints tell which of them stand for a group.
     stand = groups.where(F.col(id_col) == F.col("component_id")).select(id_col, F.col("fingerprint").alias("_print")).distinct()
     more = with_fingerprints(docs.join(repeated, id_col, "left_semi"), text_col, shingle, docs.columns).withColumn("_print", hexed())
     more = more.join(stand, [id_col, "_print"], "left_semi").dropDuplicates([id_col]).select(docs.columns)
-    return once.unionByName(more)
+    return back(once.unionByName(more))
