@@ -31,6 +31,8 @@ SHINGLE = 3
 OFFSET = 1 << (BITS - 1)
 #: Distinct fingerprints in one BK-tree.
 TREE_ROWS = 2048
+#: A fingerprint with more rows than this, and than a HOT-th of all, is hot.
+HOT_ROWS, HOT = 256, 1_000
 #: Shingles whose bits are counted at a time.
 COUNTED = 1 << 14
 
@@ -202,13 +204,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     slim = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
     prints = checkpoint(with_fingerprints(slim, "_text", shingle, ["_id"]))
-    distinct = checkpoint(prints.groupBy("fp").agg(F.min("_id").alias("least")))
+    distinct = checkpoint(prints.groupBy("fp").agg(F.min("_id").alias("least"), F.count(F.lit(1)).alias("copies")))
     roots = components(link(distinct.select("fp"), radius, tree_rows))
     linked = distinct.join(roots, distinct.fp == roots.node).select("fp", "root", "least")
     smallest = linked.groupBy("root").agg(F.min("least").alias("component"))
     linked = linked.join(smallest, "root").select("fp", "component")
-    group = distinct.join(linked, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id"))
-    return prints.join(group, "fp").select(F.col("_id").alias(id_col), hexed().alias("fingerprint"), "component_id")
+    group = checkpoint(distinct.join(linked, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id"), "copies"))
+    # Fewer than HOT fingerprints can have over a HOT-th of all rows each: these are broadcast, so that no task of the
+    # join gets all copies of a text.
+    most = max(HOT_ROWS, prints.count() // HOT)
+    hot = F.broadcast(group.where(F.col("copies") > most).select("fp", "component_id"))
+    cold = group.where(F.col("copies") <= most).select("fp", "component_id")
+    told = prints.join(hot, "fp").unionByName(prints.join(hot.select("fp"), "fp", "left_anti").join(cold, "fp"))
+    return told.select(F.col("_id").alias(id_col), hexed().alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, **how) -> DataFrame:
