@@ -5,12 +5,12 @@ A path may be a file or a folder of part files, whose names give their order; th
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparloom.functions.numbers import number, printf
 from sparloom.meta import BANNER, FIELDS, FORMATS, OBJECTS, SYMMETRIES, MatrixFormatError, MatrixMeta, check_supported, is_valid_typecode
-from sparloom.operators.entries import adjusted_nz, drop_zeros, mirror_symmetric, pattern_values, rebase
+from sparloom.operators.entries import drop_zeros, mirror_symmetric, pattern_values, rebase
 from sparloom.sources.text import head, lines, sequence, tokens, write_lines
 
 
@@ -46,18 +46,19 @@ def read_mm_header(spark: SparkSession, path: str) -> MatrixMeta:
     return MatrixMeta(*kinds, m=m, n=n, nz=nz[0] if nz else None)
 
 
-def _entries(spark: SparkSession, path: str, meta: MatrixMeta) -> DataFrame:
-    """Lines after the sizes, checked to be meta.nz in number.
+def _entries(spark: SparkSession, path: str, meta: MatrixMeta, counted: Column | None = None) -> tuple[DataFrame, int]:
+    """Lines after the sizes, checked to be meta.nz in number, and the sum of `counted` over all of them and the size line.
 
-    One aggregate finds the size line, the first entry of the first file, and counts the rest; the lines' numbers are the
-    same in every plan that scans the same files.
+    One aggregate finds the size line, the first line that isn't a comment, and counts the rest; the lines' numbers are
+    the same in every plan that scans the same files.
     """
     every = lines(spark, path).where(~F.startswith("value", F.lit("%")) & (F.trim("value") != ""))
-    stat = every.agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("file", "block", "line")).alias("s")).first()
+    total = F.lit(0) if counted is None else F.coalesce(F.sum(counted), F.lit(0))
+    stat = every.agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("file", "block", "line")).alias("s"), total.cast("long").alias("total")).first()
     if stat["n"] - 1 != meta.nz:
         raise MatrixFormatError(f"premature end of file: {stat['n'] - 1} entries instead of {meta.nz}" if stat["n"] - 1 < meta.nz else f"{stat['n'] - 1} entries instead of {meta.nz}")
     s = stat["s"]
-    return every.where(~((F.col("file") == s["file"]) & (F.col("block") == s["block"]) & (F.col("line") == s["line"])))
+    return every.where(~((F.col("file") == s["file"]) & (F.col("block") == s["block"]) & (F.col("line") == s["line"]))), stat["total"]
 
 
 def _triplets(rows: DataFrame, field: str) -> DataFrame:
@@ -78,7 +79,7 @@ def read_mm_raw(spark: SparkSession, path: str) -> tuple[DataFrame, MatrixMeta]:
         raise MatrixFormatError(f"can't read entries of {meta.typecode()}")
     if meta.field == "integer":
         raise MatrixFormatError("unsupported type: integer entries are read by read_mm")
-    return _triplets(_entries(spark, path, meta), meta.field), meta
+    return _triplets(_entries(spark, path, meta)[0], meta.field), meta
 
 
 def read_mm_unsymmetric(spark: SparkSession, path: str) -> tuple[DataFrame, MatrixMeta]:
@@ -86,7 +87,7 @@ def read_mm_unsymmetric(spark: SparkSession, path: str) -> tuple[DataFrame, Matr
     meta = read_mm_header(spark, path)
     if meta.field != "real" or meta.format != "coordinate":
         raise MatrixFormatError(f"only real coordinate files are read here, not {meta.typecode()}")
-    return rebase(_triplets(_entries(spark, path, meta), meta.field)), meta
+    return rebase(_triplets(_entries(spark, path, meta)[0], meta.field)), meta
 
 
 def read_mm(spark: SparkSession, path: str, dtype: str = "double") -> tuple[DataFrame, MatrixMeta]:
@@ -96,17 +97,19 @@ def read_mm(spark: SparkSession, path: str, dtype: str = "double") -> tuple[Data
     check_supported(meta)
     if not is_valid_typecode(meta):
         raise MatrixFormatError(f"invalid typecode {meta.typecode()}")
-    coo = rebase(_triplets(_entries(spark, path, meta), meta.field))
-    symmetric, pattern = meta.symmetry == "symmetric", meta.field == "pattern"
-    if pattern:
-        coo = pattern_values(coo)
-    elif dtype == "float":
-        coo = coo.withColumn("val", F.col("val").cast("float").cast("double"))
-    nz = adjusted_nz(coo, symmetric, pattern).first()[0]
+    symmetric, pattern, kind = meta.symmetry == "symmetric", meta.field == "pattern", "float" if dtype == "float" else "double"
+    # How many entries a stored one makes: none for a zero, two off the diagonal of a symmetric matrix. Lines that aren't
+    # entries raise when they are read below.
+    t = tokens()
+    kept = F.lit(1) if pattern else F.coalesce((F.get(t, F.lit(2)).try_cast(kind) != 0).cast("int"), F.lit(0))
+    at = [F.get(t, F.lit(i)).try_cast("bigint") for i in (0, 1)]
+    twice = F.coalesce((at[0] != at[1]).cast("int"), F.lit(0)) if symmetric else F.lit(0)
+    rows, total = _entries(spark, path, meta, kept * (1 + twice))
+    size_line = (1 if pattern else int(meta.nz != 0)) * (1 + int(symmetric and meta.m != meta.n))
+    coo = rebase(_triplets(rows, meta.field))
+    coo = pattern_values(coo) if pattern else drop_zeros(coo.withColumn("val", F.col("val").cast(kind).cast("double")))
     coo = coo.select("row", "col", "val", "seq")
-    if not pattern:
-        coo = drop_zeros(coo)
-    return mirror_symmetric(coo) if symmetric else coo, meta.with_nz(nz)
+    return mirror_symmetric(coo) if symmetric else coo, meta.with_nz(total - size_line)
 
 
 def write_mm(coo: DataFrame, meta: MatrixMeta, path: str, order: list[str] | None = None, **how) -> None:

@@ -119,7 +119,7 @@ def test_refused(spark, put, body, message):
 
 def test_unreadable_number(spark, put):
     with pytest.raises(PySparkException, match="not a double"):
-        mm.read_mm(spark, put(banner("coordinate real general") + "1 1 1\n1 1 x\n"))
+        mm.read_mm(spark, put(banner("coordinate real general") + "1 1 1\n1 1 x\n"))[0].collect()
 
 
 def test_accepted_headers(spark, put):
