@@ -67,7 +67,7 @@ def plain_ranges(nnz, parts):
 def test_random_ranges_against_loops(spark, monkeypatch):
     monkeypatch.setattr("sparloom.operators.prefix.LEAST_WIDTH", 3)
     rng = random.Random(5)
-    for _ in range(6):
+    for _ in range(3):
         nnz = [rng.choice([0, 0, 1, 2, 3, 9, 30]) for _ in range(rng.randint(1, 40))]
         df = counts(spark, nnz).cache()
         for parts in (1, 3, 7):
@@ -99,7 +99,7 @@ def test_missing_rows_count_as_zero(spark):
     assert tuple(compare.error_norms(none, none).first()) == (0.0, 0.0)
 
 
-@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=3, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.tuples(st.integers(0, 6), st.integers(0, 5), st.integers(1, 9)), max_size=25), st.sampled_from([1, 3, 40]))
 def test_layouts_and_strategies_agree(spark, found, k):
     coo = spark.createDataFrame([(r, c, float(v)) for r, c, v in found], "row long, col long, val double")
