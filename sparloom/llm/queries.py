@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, decontam, htmltext, langid, media, packing, secrets, sharding, simhash, toxicity
-from .common import read_table
+from .common import checkpoint, read_table
 
 SHARDS = 24
 
@@ -75,7 +75,7 @@ def op10_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
     both = sharding.assign_shards(docs, "doc_id", [1.0] * SHARDS)
     both = sharding.assign_shards(both, "doc_id", [1.0] * (SHARDS + 1), "grown_shard")
-    slots = sharding.number_slots(both, "shard", "doc_id", ["doc_id", "text_crc32", "size"], SHARDS)
+    slots = sharding.number_slots(checkpoint(both), "shard", "doc_id", ["doc_id", "text_crc32", "size"], SHARDS)
     return slots.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 

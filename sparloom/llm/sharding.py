@@ -46,12 +46,14 @@ def assign_shards(df: DataFrame, key: str, weights: list[float], shard_col: str
 def number_slots(df: DataFrame, shard_col: str, key: str, order: list[str], n_shards: int, rows_per_bucket: int = ROWS_PER_BUCKET, slot_col: str = "slot") -> DataFrame:
     """df with `slot_col` long: 0, 1, ... without gaps within each shard.
 
-    A shard may hold any number of rows, so it is cut into buckets by a hash of the key; counts of buckets give each
-    bucket its first slot, and rows are numbered inside their bucket. Repeated rows get slots of their own.
+    A shard may hold any number of rows, so it is cut into buckets by a hash of the key and the columns of order; counts
+    of buckets give each bucket its first slot, and rows are numbered inside their bucket. A key with many different rows
+    thus spreads over buckets. Repeated rows get slots of their own. df is read three times: pass one that is checkpointed.
     """
-    counts = df.select(shard_col, key)
+    by = list(dict.fromkeys([key, *order]))
+    counts = df.select(shard_col, *[c for c in by if c != shard_col])
     buckets = max(1, math.ceil(counts.count() / (n_shards * rows_per_bucket)))
-    bucket = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(buckets)).cast("int")
+    bucket = F.pmod(F.xxhash64(*[F.col(c) for c in by]), F.lit(buckets)).cast("int")
     counts = counts.select(shard_col, bucket.alias("_bucket")).groupBy(shard_col, "_bucket").agg(F.count(F.lit(1)).alias("_rows"))
     before = Window.partitionBy(shard_col).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.select(shard_col, "_bucket", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_first"))
