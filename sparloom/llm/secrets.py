@@ -3,8 +3,8 @@
 Patterns (`assign`, `access`, `hex`) find what has a known shape. For the rest, long runs of token characters are
 candidates: a window of `window` characters slides over each, per character class, with counts of its characters that
 change by the one that enters and the one that leaves; where the window's entropy reaches the class's bound, the
-run is a span of kind `entropy_b64` or `entropy_hex`. Runs that hold an allow-listed string are left out; spans of the
-three patterns are never left out.
+run is a span of kind `entropy_b64` or `entropy_hex`. Runs that hold an allow-listed string or overlap a span of the three
+patterns are left out, or with `parts` only what is allow-listed or in such a span; spans of the three patterns are never left out.
 
 A null text counts as empty: no spans. Offsets are code points, ends exclusive. Texts may have any length; everything is
 per row, without a shuffle.
@@ -93,10 +93,26 @@ def weight_bound(bits: float, window: int = WINDOW) -> int:
     return math.floor(1e6 * window * (math.log2(window) - bits))
 
 
-def find_secrets(df: DataFrame, text_col: str = "text") -> DataFrame:
+def blanked(text: Column, spans: Column) -> Column:
+    """text with blanks, one for each character, over the spans and the allow-listed strings; offsets stay."""
+    empty = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
+
+    def step(s: Column, x: Column) -> Column:
+        between = F.substring(text, (s["at"] + 1).cast("int"), F.greatest(x["start"] - s["at"], F.lit(0)).cast("int"))
+        blanks = F.repeat(F.lit(" "), F.greatest(x["end"] - F.greatest(x["start"], s["at"]), F.lit(0)).cast("int"))
+        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.concat(s["out"], F.array(between, blanks)).alias("out"))
+
+    out = F.aggregate(F.array_sort(spans), empty, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, (s["at"] + 1).cast("int"), F.length(text))))
+    for piece in ALLOW:
+        out = F.regexp_replace(out, "(?i)" + piece, " " * len(piece))
+    return out
+
+
+def find_secrets(df: DataFrame, text_col: str = "text", parts: bool = False) -> DataFrame:
     """df with `secrets` array<struct<start long, end long, kind string>>, by start, then kind as in KINDS, then end.
 
-    A column of that name is replaced.
+    A column of that name is replaced. parts: a run that spans of the three patterns or allow-listed strings touch isn't left
+    out; what they leave of it are candidates of their own.
     """
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     none = F.array().cast("array<string>")
@@ -119,12 +135,21 @@ def find_secrets(df: DataFrame, text_col: str = "text") -> DataFrame:
 
     staged = staged.withColumn("_base", F.concat(*[named(k) for k in ("assign", "access", "hex")]))
 
+    if parts:
+        runs = F.lit(False)
+        for kind in CLASSES:
+            runs = runs | (F.size(f"_{kind}") > 0)
+        touched = runs & ((F.size("_base") > 0) | text.rlike("(?i)" + "|".join(ALLOW)))
+        staged = staged.withColumn("_free", F.when(touched, blanked(text, F.col("_base"))))
+        again = lambda run: matches(F.col("_free"), F.regexp_extract_all("_free", F.lit(run), F.lit(0)), run)
+        staged = staged.withColumns({f"_{kind}": F.when(F.col("_free").isNull(), F.col(f"_{kind}")).otherwise(again(c["run"])) for kind, c in CLASSES.items()})
+
     def random_runs(kind: str) -> Column:
         c = CLASSES[kind]
 
         def keeps(x: Column) -> Column:
             run = x["found"]
-            ok = ~run.rlike("(?i)" + "|".join(ALLOW)) & ~F.exists("_base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+            ok = F.lit(True) if parts else ~run.rlike("(?i)" + "|".join(ALLOW)) & ~F.exists("_base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
             for need in c["needs"]:
                 ok = ok & run.rlike(need)
             return F.when(ok, least_weight(run, c["alphabet"]) <= weight_bound(c["bits"])).otherwise(F.lit(False))
@@ -135,7 +160,7 @@ def find_secrets(df: DataFrame, text_col: str = "text") -> DataFrame:
     every = F.concat("_base", *[random_runs(k) for k in CLASSES])
     ranked = F.array_sort(F.transform(every, lambda x: F.struct(x["start"], F.array_position(order, x["kind"]).alias("rank"), x["end"], x["kind"])))
     out = staged.withColumn("secrets", F.transform(ranked, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
-    return out.drop("_base", *[f"_{k}" for k in KINDS])
+    return out.drop("_base", "_free", *[f"_{k}" for k in KINDS])
 
 
 def joined(spans: Column) -> Column:
