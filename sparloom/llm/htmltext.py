@@ -37,6 +37,9 @@ TREES, DEPTH, BINS, SHRINK = 60, 4, 32, 0.2
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
 RAW = "script|style|noscript|template|iframe|object|textarea|title|svg|math|select|button|audio|video|canvas"
+#: Of these, the elements that reach to the page's end where they have no end tag, and those that `/>` closes.
+TO_END = frozenset("script style textarea title".split())
+SELF_CLOSED = frozenset("svg math".split())
 CLOSES = {t: frozenset({"p"}) for t in "address article aside blockquote center details dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()} | {
     "li": frozenset({"p", "li"}), "dt": frozenset({"p", "dt", "dd"}), "dd": frozenset({"p", "dt", "dd"}), "option": frozenset({"option"}),
     "tr": frozenset({"p", "td", "th", "tr"}), "td": frozenset({"p", "td", "th"}), "th": frozenset({"p", "td", "th"}), "tbody": frozenset({"p", "td", "th", "tr", "thead", "tbody"}), "tfoot": frozenset({"p", "td", "th", "tr", "thead", "tbody"}),
@@ -64,11 +67,12 @@ for _i, _words in enumerate(HINTS.values()):
 JUNK_TAGS = frozenset("nav header footer aside form".split())
 
 _TOKEN = re.compile(
-    rf"""<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b(?:[^>"']++|"[^"]*+"|'[^']*+')*+>.*?(?:</(?P=raw)\s*>|\Z)"""
+    rf"""<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})(?=[\s/>])(?P<rawattrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>"""
     r"""|<(?P<close>/?)(?P<name>[a-z][^\s/>]*)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>"""
     r"""|<(?P<close2>/?)(?P<name2>[a-z][^\s/>]*)[^>]*>|<[!?/][^>]*(?:>|\Z)|<[a-z][^>]*\Z""",
     re.S | re.I,
 )
+_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW.split("|")}
 _ATTR = re.compile(r"""\b(class|id|role|data-main)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _SPLIT = re.compile(r"[^a-z]+")
 
@@ -110,11 +114,24 @@ def parse(page: str) -> Page:
         del stack[depth:]
 
     at = 0
-    for m in _TOKEN.finditer(page):
+    endless: set[str] = set()  # raw elements without a further end tag
+    while m := _TOKEN.search(page, at):
         if m.start() > at:
             say(page[at : m.start()])
         at = m.end()
-        name = m["name"] or m["name2"]
+        name, attrs = m["name"] or m["name2"], m["attrs"]
+        if m["raw"]:
+            name, attrs = m["raw"].lower(), m["rawattrs"]
+            if name in SELF_CLOSED and attrs.endswith("/"):
+                continue
+            end = None if name in endless else _END[name].search(page, at)
+            if end:
+                at = end.end()
+                continue
+            endless.add(name)
+            if name in TO_END:
+                at = len(page)
+                continue
         if not name:
             continue
         name = name.lower()
@@ -148,15 +165,15 @@ def parse(page: str) -> Page:
             if found:
                 pop(found)
         words, main = set(), False
-        if m["attrs"]:
-            for key, *values in _ATTR.findall(m["attrs"]):
+        if attrs:
+            for key, *values in _ATTR.findall(attrs):
                 if key.lower() == "data-main":
                     main = True
                 else:
                     words.update(_SPLIT.split("".join(values).lower()))
         owner = stack[-1][1]
         told = set().union(*[_HINT[w] for w in words if w in _HINT])
-        if name in INLINE and not told:
+        if name in INLINE:
             state["links"] += name == "a"
             stack.append((name, owner))
             continue
