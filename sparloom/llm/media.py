@@ -1,9 +1,12 @@
 """Texts as lossless WebP media columns, and back to pixel arrays.
 
 A text's UTF-8 bytes, filled with zeros to a positive multiple of 64, are the red, green, blue and alpha samples of
-consecutive images 16 pixels wide, TILE_ROWS rows at most; their RIFF files follow each other in the column. Images of
-up to SMALL bytes use one fixed set of prefix codes, so that all of them are written and read by the same array operations;
-larger images have codes of their own. Both depend on the text alone: equal texts have equal media.
+consecutive images 16 pixels wide, TILE_ROWS rows at most; their RIFF files follow each other in the column.
+
+Each image is written the way that takes fewest bits by an estimate from its own pixels, one rule for all sizes: as it is, or after
+subtract-green, cross-colour, the best predictor (with or without one of these) or a palette; with back-references; without or
+with a colour cache of one of CACHES sizes. The choice depends on the text alone: equal texts have equal media. Every stored image
+is read by the general reader.
 """
 
 from __future__ import annotations
@@ -22,134 +25,226 @@ from .common import binary, map_arrow
 UNIT = 64
 WIDTH = 16
 TILE_ROWS = 4096
-SMALL = 1 << 15
-
-# Fixed value: rough frequencies of letters in texts of European languages, in thousandths of all bytes.
-_FREQUENT = {" ": 160, "e": 110, "n": 70, "t": 65, "i": 62, "r": 60, "s": 58, "a": 56, "o": 50, "h": 38, "d": 34, "u": 32, "l": 30, "c": 26, "m": 18, "g": 14, "b": 12, "f": 12, "p": 12, "w": 12, "y": 8, "v": 8, "z": 6, ".": 10, ",": 8, "\n": 4, "q": 4, "k": 4, "\0": 4, "\xc3": 18}
-_COUNTS = [_FREQUENT.get(chr(b), 0) * 50 or (20 if 48 <= b < 128 else 12 if b >= 160 else 4) for b in range(256)]
-
-
-class Fixed:
-    """The fixed codes: their header bits after an image's size, their tables, and codes for writing."""
-
-    def __init__(self) -> None:
-        self.lengths = webp.code_lengths(_COUNTS)
+#: Bits of the colour caches that are tried beside none.
+CACHES = (7, 10)
+#: Bits that the header takes for each symbol and each cache key in use, and for a transform with one tile: rough averages.
+SYMBOL_BITS, KEY_BITS, TILE_BITS = 5, 8, 50
+#: Predictors that are tried: left, top, mean of both, the nearer of both, and the gradient.
+MODES = (1, 2, 7, 11, 12)
+#: Side of the tiles of predictor and cross-colour, as a power of two: the largest of the format.
+SHIFT = 9
+#: Bytes of images whose transforms are compared at a time.
+COMPARED = 1 << 20
+
+
+#: n log2(n) of each number of pixels that an image can have.
+_WEIGH = np.arange(WIDTH * TILE_ROWS + 1) * np.log2(np.maximum(np.arange(WIDTH * TILE_ROWS + 1), 1))
+
+
+def _entropy(counts: np.ndarray) -> np.ndarray:
+    """Bits of symbols with these counts (..., symbols) by their frequencies, and of the code's header."""
+    return _WEIGH[counts.sum(axis=-1)] - _WEIGH[counts].sum(axis=-1) + SYMBOL_BITS * np.count_nonzero(counts, axis=-1)
+
+
+def _literal_bits(pixels: np.ndarray) -> float:
+    channels = np.ascontiguousarray(pixels.astype("<u4")).view(np.uint8).reshape(-1, 4) + 256 * np.arange(4)
+    return float(_entropy(np.bincount(channels.ravel(), minlength=1024).reshape(4, 256)).sum())
+
+
+class Compared:
+    """Estimates for many images at once: literal bits of each as it is and after each transform."""
+
+    def __init__(self, images: list[np.ndarray]):
+        self.n = len(images)
+        rows = np.array([len(p) for p in images])
+        self.first = np.cumsum(rows) - rows
+        self.c = np.ascontiguousarray(np.concatenate(images).astype("<u4")).view(np.uint8).reshape(-1, WIDTH, 4)
+        self.cells = ((np.repeat(np.arange(self.n), rows)[:, None, None] * 4 + np.arange(4)) * 256).astype(np.int64)
+
+    def bits(self, c: np.ndarray) -> np.ndarray:
+        counts = np.bincount((self.cells + c.astype(np.uint8, copy=False)).ravel(), minlength=self.n * 1024).reshape(self.n, 4, 256)
+        return _entropy(counts).sum(axis=1)
+
+    def predicted(self) -> tuple[np.ndarray, np.ndarray]:
+        """The best mode of each image and its bits."""
+        c = self.c.astype(np.int16)
+        before = np.concatenate([np.zeros_like(c[:1]), c[:-1]])
+        left, top_left = np.zeros_like(c), np.zeros_like(c)
+        left[:, 1:], top_left[:, 1:] = c[:, :-1], before[:, :-1]
+        top_right = np.concatenate([before[:, 1:], c[:, :1]], axis=1)
+        best, mode = np.full(self.n, np.inf), np.zeros(self.n, np.int64)
+        for k in MODES:
+            guess = webp.predictions(k, left, before, top_left, top_right).copy()
+            guess[:, 0] = before[:, 0]
+            guess[self.first] = left[self.first]
+            guess[self.first, 0] = (0, 0, 0, 255)
+            bits = self.bits(c - guess)
+            mode[bits < best] = k
+            best = np.minimum(best, bits)
+        return mode, best + TILE_BITS
+
+    def greened(self) -> np.ndarray:
+        c = self.c.copy()
+        c[..., 0] -= c[..., 1]
+        c[..., 2] -= c[..., 1]
+        return self.bits(c)
+
+    def crossed(self) -> tuple[np.ndarray, np.ndarray]:
+        """Multipliers (images, 3) of green to red, green to blue and red to blue by least squares, and their bits."""
+        signed = (self.c.astype(np.int64) ^ 128) - 128
+        sums = lambda x: np.add.reduceat(x.sum(axis=1), self.first)
+        n = sums(np.ones(self.c.shape[:2]))
+
+        def slope(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            sx, sy = sums(x), sums(y)
+            spread = sums(x * x) - sx * sx / n
+            return np.clip(np.rint(32 * (sums(x * y) - sx * sy / n) / np.maximum(spread, 1)), -128, 127).astype(np.int64)
+
+        spread = lambda t: np.repeat(t, np.diff(np.r_[self.first, len(self.c)]))[:, None]
+        blue, green, red = signed[..., 0], signed[..., 1], signed[..., 2]
+        to_red, to_blue = slope(green, red), slope(green, blue)
+        blue = blue - (spread(to_blue) * green >> 5)
+        from_red = slope(red, blue)
+        c = np.stack([blue - (spread(from_red) * red >> 5), self.c[..., 1], red - (spread(to_red) * green >> 5), self.c[..., 3]], axis=-1)
+        return np.stack([to_red, to_blue, from_red], axis=1), self.bits(c) + TILE_BITS
+
+
+def _tile(value: int, height: int) -> np.ndarray:
+    """The tiles of an image, all alike."""
+    return np.full((-(-height >> SHIFT), 1), value, np.uint32)
+
+
+def _cross_tile(multipliers: np.ndarray, height: int) -> np.ndarray:
+    to_red, to_blue, from_red = (int(m) & 255 for m in multipliers)
+    return _tile(0xFF000000 | from_red << 16 | to_blue << 8 | to_red, height)
+
+
+class Way:
+    """One way to write an image: its pixels after the transforms, and about the bits that those take."""
+
+    def __init__(self, image: int, pixels: np.ndarray, transforms: tuple[int, ...] = (), modes: np.ndarray | None = None, cross: np.ndarray | None = None):
+        self.image, self.size, self.how = image, pixels.shape, (transforms, modes, cross, SHIFT)
+        self.pixels, self.palette = webp.transformed(pixels, *self.how)
+        self.bits = TILE_BITS * sum(k in (webp.PREDICTOR, webp.CROSS) for k in transforms) + (0 if self.palette is None else _literal_bits(webp.palette_steps(self.palette)))
+
+    def head(self, cache_bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """Values and bits of all before the codes."""
         w = webp.Writer()
-        w.bits(0, 3)  # no transform, no colour cache, one group
-        for size in webp.ALPHABETS[:4]:
-            webp.write_lengths(w, self.lengths + [0] * (size - 256))
-        webp.write_lengths(w, [0] * webp.ALPHABETS[4])
-        self.n_bits = sum(8 * len(p) for p in w.parts) + w.at
-        self.header = int.from_bytes(w.done(), "little")
-        self.code = np.array(webp.codes(self.lengths), np.int64)
-        self.length = np.array(self.lengths, np.int64)
-        table = webp.Table(self.lengths)
-        self.group = [table] * 4
-        self.start = 40 + self.n_bits  # an image's size takes 40 bits
-        self.mask = (1 << self.n_bits) - 1
-
-    def write(self, tiles: list[bytes]) -> list[bytes]:
-        """Bitstreams of these samples."""
-        if not tiles:
-            return []
-        # Green comes first in the stream, then red.
-        samples = np.frombuffer(b"".join(tiles), np.uint8).reshape(-1, 4)[:, [1, 0, 2, 3]].ravel()
-        n = np.array([len(t) for t in tiles])
-        first = np.cumsum(n) - n
-        bits = self.length[samples]
-        ends = np.cumsum(bits)
-        before = ends[first] - bits[first]
-        total = np.add.reduceat(bits, first)
-        size = (self.start + total + 7) // 8
-        base = np.cumsum(size) - size
-        at = ends - bits + np.repeat(8 * base + self.start - before, n)
-        value = self.code[samples] << (at & 7)
-        byte = at >> 3
-        room = int(size.sum()) + 2
-        out = sum(np.bincount(byte + k, value >> (8 * k) & 255, room) for k in range(3)).astype(np.uint8)
-        streams = []
-        for b, s, k in zip(base.tolist(), size.tolist(), n.tolist()):
-            w = webp.Writer()
-            webp.write_header(w, WIDTH, k // UNIT)
-            head = (w.value | self.header << 40).to_bytes(-(-self.start // 8), "little")
-            body = out[b : b + s].tobytes()
-            edge = len(head) - 1
-            streams.append(head[:edge] + bytes([head[edge] | body[edge]]) + body[edge + 1 :])
-        return streams
-
-    def height(self, stream: bytes) -> int:
-        """Rows of an image with the fixed codes; 0 for any other."""
-        head = int.from_bytes(stream[: -(-self.start // 8)], "little")
-        if len(stream) * 8 < self.start or head & 0xFF != 0x2F or head >> 37 & 7 or (head >> 8 & 0x3FFF) + 1 != WIDTH or head >> 40 & self.mask != self.header:
-            return 0
-        return (head >> 22 & 0x3FFF) + 1
-
-
-_fixed: list[Fixed] = []
-
-
-def fixed() -> Fixed:
-    if not _fixed:
-        _fixed.append(Fixed())
-    return _fixed[0]
-
-
-def _own(tile: bytes) -> bytes:
-    """Bitstream of a tile with codes of its own for each channel."""
-    samples = np.frombuffer(tile, np.uint8).reshape(-1, 4)[:, [1, 0, 2, 3]]
-    w = webp.Writer()
-    webp.write_header(w, WIDTH, len(tile) // UNIT)
-    w.bits(0, 3)
-    code, length = np.zeros((4, 256), np.int64), np.zeros((4, 256), np.int64)
-    for k in range(4):
-        counts = np.bincount(samples[:, k], minlength=256).tolist()
-        lengths = webp.code_lengths(counts)
-        webp.write_lengths(w, lengths + [0] * (webp.ALPHABETS[k] - 256))
-        if sum(1 for x in lengths if x) > 1:
-            code[k], length[k] = webp.codes(lengths), lengths
-    webp.write_lengths(w, [0] * webp.ALPHABETS[4])
-    start = sum(8 * len(p) for p in w.parts) + w.at
-    head = w.done()
-    bits = length[np.arange(4), samples].ravel()
-    at = start + np.cumsum(bits) - bits
-    value = code[np.arange(4), samples].ravel() << (at & 7)
-    size = int(start + bits.sum() + 7) // 8
-    out = sum(np.bincount((at >> 3) + k, value >> (8 * k) & 255, size + 2) for k in range(3)).astype(np.uint8)[:size]
-    out[: len(head)] |= np.frombuffer(head, np.uint8)
-    return out.tobytes()
+        webp.write_header(w, self.size[1], self.size[0])
+        webp.write_transforms(w, *self.how, self.palette)
+        w.bits(0, 1)  # no further transform
+        w.bits(int(cache_bits > 0), 1)
+        if cache_bits:
+            w.bits(cache_bits, 4)
+        w.bits(0, 1)  # one group of codes
+        return w.all()
+
+
+def write_ways(ways: list[Way], n_images: int) -> list[bytes]:
+    """The stream of each image by the way that takes the fewest bits by an estimate, the first of equal ones."""
+    flat = np.concatenate([w.pixels.ravel() for w in ways])
+    size = np.array([w.pixels.size for w in ways])
+    first = np.cumsum(size) - size
+    way = np.repeat(np.arange(len(ways)), size)
+    refs = webp.find_references(flat, first)
+    at, symbols, kinds = webp.items(flat, np.array([w.pixels.shape[1] for w in ways])[way[refs[:, 0]]], refs)
+    owner = way[at]
+    count = lambda x, n: np.bincount(x, minlength=n * len(ways)).reshape(len(ways), n)
+
+    literal = kinds[:, 1] == 1
+    spot, of = at[literal], owner[literal]
+    cells = (of[:, None] * 4 + np.arange(4)) * 256 + symbols[literal]
+    plain = count(cells.ravel(), 1024).reshape(-1, 4, 256)
+    lengths, far = owner[~literal] * 24 + symbols[~literal, 0] - 256, owner[~literal] * 40 + symbols[~literal, 2]
+    green = np.concatenate([plain[:, 0], count(lengths, 24)], axis=1)
+    same = np.bincount(owner, np.maximum(kinds - 8, 0).sum(axis=1), len(ways)) + _entropy(count(far, 40)) + [w.bits for w in ways]
+    best, bits = same + _entropy(green) + _entropy(plain[:, 1:]).sum(axis=1), np.zeros(len(ways), np.int64)
+    tried = {}
+    for b in CACHES:
+        key, hit = webp.cached(flat, b, way)
+        found = hit[spot]
+        missed = count(cells[found].ravel(), 1024).reshape(-1, 4, 256)
+        keys = count(of[found] << b | key[spot[found]], 1 << b)
+        total = same + _entropy(np.concatenate([green[:, :256] - missed[:, 0], green[:, 256:], keys], axis=1)) + _entropy(plain[:, 1:] - missed[:, 1:]).sum(axis=1)
+        total += (KEY_BITS - SYMBOL_BITS) * np.count_nonzero(keys, axis=1)
+        tried[b] = (key, hit)
+        bits[total < best] = b
+        best = np.minimum(best, total)
+
+    images = np.array([w.image for w in ways])
+    order = np.lexsort((np.arange(len(ways)), best, images))
+    chosen = order[np.r_[True, np.diff(images[order]) > 0]]
+    key, hit = np.zeros(len(flat), np.int64), np.zeros(len(flat), bool)
+    for b, (k, h) in tried.items():
+        mine = bits[way] == b
+        key[mine], hit[mine] = k[mine], h[mine]
+    at, symbols, kinds = webp.with_cache((at, symbols, kinds), key, hit)
+    number = np.full(len(ways), -1)
+    number[chosen] = np.arange(n_images)
+    rows = number[owner] >= 0
+    image = number[owner[rows]]
+    room = np.where(bits[chosen] > 0, 1 << bits[chosen], 0)
+    sizes = (np.array(webp.ALPHABETS) + room[:, None] * (np.arange(5) == 0)).ravel()
+    heads = [ways[c].head(int(bits[c])) for c in chosen.tolist()]
+    head_of = np.repeat(np.arange(n_images), [len(h[0]) for h in heads]) * 12
+    parts = webp.fields(symbols[rows], kinds[rows], image, 5 * image, sizes)
+    return webp.packed([(*[np.concatenate(x) for x in zip(*heads)], head_of), *parts], 12, n_images)
+
+
+def write_images(images: list[np.ndarray]) -> list[bytes]:
+    """Bitstreams of images WIDTH pixels wide, each by the cheapest of the ways to write it."""
+    out: list[bytes] = []
+    first = 0
+    while first < len(images):
+        last, size = first, 0
+        while last < len(images) and (last == first or size + images[last].nbytes <= COMPARED):
+            size += images[last].nbytes
+            last += 1
+        part = images[first:last]
+        seen = Compared(part)
+        plain, green = seen.bits(seen.c), seen.greened()
+        (mode, predicted), (multipliers, crossed) = seen.predicted(), seen.crossed()
+        ways: list[Way] = []
+        for i, p in enumerate(part):
+            ways.append(Way(i, p))
+            if green[i] < plain[i]:
+                ways.append(Way(i, p, (webp.SUBTRACT_GREEN,)))
+            if crossed[i] < plain[i]:
+                ways.append(Way(i, p, (webp.CROSS,), cross=_cross_tile(multipliers[i], len(p))))
+            if predicted[i] < plain[i]:
+                modes = _tile(int(mode[i]) << 8, len(p))
+                alone = Way(i, p, (webp.PREDICTOR,), modes)
+                cross = _cross_tile(Compared([alone.pixels]).crossed()[0][0], len(p))
+                ways += [alone, Way(i, p, (webp.PREDICTOR, webp.SUBTRACT_GREEN), modes), Way(i, p, (webp.PREDICTOR, webp.CROSS), modes, cross)]
+            colours, counts = np.unique(p, return_counts=True)
+            if len(colours) <= 256 and _entropy(counts) + _literal_bits(webp.palette_steps(colours)) < plain[i]:
+                ways.append(Way(i, p, (webp.PALETTE,)))
+        out += write_ways(ways, len(part))
+        first = last
+    return out
 
 
 def encode(texts: list[bytes]) -> list[bytes]:
     """Each text's media: its images' files, one after the other."""
-    tiles: list[tuple[int, bytes]] = []
+    owner: list[int] = []
+    images: list[np.ndarray] = []
     for i, t in enumerate(texts):
-        payload = t + bytes(UNIT if not t else -len(t) % UNIT)
-        tiles += [(i, payload[k : k + UNIT * TILE_ROWS]) for k in range(0, len(payload), UNIT * TILE_ROWS)]
-    small = iter(fixed().write([t for _, t in tiles if len(t) <= SMALL]))
+        payload = np.frombuffer(t + bytes(UNIT if not t else -len(t) % UNIT), np.uint8).reshape(-1, WIDTH, 4)
+        argb = np.ascontiguousarray(payload[..., [2, 1, 0, 3]]).view("<u4")[..., 0]
+        for k in range(0, len(argb), TILE_ROWS):
+            owner.append(i)
+            images.append(argb[k : k + TILE_ROWS])
     out: list[list[bytes]] = [[] for _ in texts]
-    for i, t in tiles:
-        out[i].append(webp.wrap(next(small) if len(t) <= SMALL else _own(t)))
+    for i, stream in zip(owner, write_images(images)):
+        out[i].append(webp.wrap(stream))
     return [b"".join(x) for x in out]
 
 
 def decode(media: list[bytes]) -> list[list[np.ndarray]]:
     """Each media's images as ARGB pixel arrays, uint32 (height, width)."""
-    out: list[list] = []
-    quick, where = [], []
-    for m in media:
-        images: list = []
-        for stream in webp.unwrap(m):
-            rows = fixed().height(stream)
-            if rows:
-                where.append((images, len(images)))
-                quick.append((webp.Reader(stream, fixed().start), rows * WIDTH))
-                images.append(None)
-            else:
-                images.append(webp.read_image(stream))
-        out.append(images)
-    for (images, k), pixels in zip(where, webp.literals(quick, fixed().group)):
-        images[k] = pixels.reshape(-1, WIDTH)
-    return out
+    streams = [webp.unwrap(m) for m in media]
+    images = iter(webp.read_images([x for s in streams for x in s]))
+    return [[next(images) for _ in s] for s in streams]
 
 
 def samples(images: list[np.ndarray]) -> bytes:
@@ -157,9 +252,9 @@ def samples(images: list[np.ndarray]) -> bytes:
     return b"".join(np.ascontiguousarray(p.astype("<u4")).view(np.uint8).reshape(-1, 4)[:, [2, 1, 0, 3]].tobytes() for p in images)
 
 
-def feature(images: list[np.ndarray]) -> str:
-    """Images, rows, mean red, green, blue and alpha, and entropy of all samples in bits."""
-    data = np.frombuffer(samples(images), np.uint8)
+def feature(images: list[np.ndarray], payload: bytes) -> str:
+    """Images, rows, mean red, green, blue and alpha, and entropy of all samples in bits; payload: the images' samples."""
+    data = np.frombuffer(payload, np.uint8)
     counts = np.bincount(data, minlength=256)
     share = counts[counts > 0] / max(len(data), 1)
     means = data.reshape(-1, 4).sum(axis=0, dtype=np.int64) / max(len(data) // 4, 1)
@@ -204,7 +299,7 @@ def read_back(stored: DataFrame, media_col: str = "media", keep: list[str] | Non
         rows = []
         for m, images in zip(media, decode(media)):
             payload = samples(images)
-            rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(m), hashlib.sha256(m).hexdigest(), feature(images)))
+            rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(m), hashlib.sha256(m).hexdigest(), feature(images, payload)))
         return {n: [r[i] for r in rows] for i, n in enumerate(names)}
 
     return map_arrow(stored, add, [T.StructField(n, k) for n, k in zip(names, kinds)], media_col, keep)
