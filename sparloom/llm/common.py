@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,6 +48,25 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sample_texts(texts: DataFrame, most: int, by: list[str] | None = None) -> DataFrame:
+    """At most `most` distinct rows (*by, text) of each group of `by`, or of all, chosen by a hash of the text.
+
+    Ids play no part: rows without ids, repeated ids and repeated rows neither crowd the sample nor empty it. One pass estimates the
+    number of distinct texts; only rows under the hash bound that follows are shuffled, and the window holds no more of them
+    than about 1.3 * most for a group.
+    """
+    hashed = texts.where("text is not null").withColumn("_hash", F.xxhash64("text"))
+    order = F.pmod(F.xxhash64("_hash", F.lit("sample")), F.lit(1 << 30))
+    many = F.approx_count_distinct("_hash", 0.02).alias("_texts")
+    bound = F.lit((1.2 * most + 8) * (1 << 30))
+    if by:
+        near = hashed.join(F.broadcast(hashed.groupBy(*by).agg(many)), by).where(order * F.col("_texts") < bound).dropDuplicates([*by, "_hash"])
+        place = F.row_number().over(Window.partitionBy(*by).orderBy(order, "_hash"))
+        return near.withColumn("_place", place).where(F.col("_place") <= most).select(*by, "text")
+    near = hashed.where(order * F.lit(hashed.agg(many).first()[0]) < bound).dropDuplicates(["_hash"])
+    return near.orderBy(order, "_hash").limit(most).select("text")
+
+
 def aside(df: DataFrame, names: Iterable[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
     """df with its columns of these names (in any letter case) put under other names, and what gives them their names back
     and leaves the other columns of df alone in the result."""
@@ -80,8 +99,9 @@ def slices(batch: pa.RecordBatch, text_col: str, limit: int = SLICE_BYTES) -> It
         start = stop
 
 
-def map_arrow(df: DataFrame, add: Callable[[pa.RecordBatch], dict | None], fields: list[T.StructField], text_col: str, keep: list[str] | None = None) -> DataFrame:
-    """Columns `keep` of df (all when None, less those named like a new one) and those that `add` makes of each slice.
+def map_arrow(df: DataFrame, add: Callable[[pa.RecordBatch], dict | None], fields: list[T.StructField], text_col: str, keep: list[str] | None = None, limit: int = SLICE_BYTES) -> DataFrame:
+    """Columns `keep` of df (all when None, less those named like a new one) and those that `add` makes of each slice of about
+    `limit` bytes.
 
     add: takes a RecordBatch; returns a dict of name to Arrow array in the order of fields.
     """
@@ -94,7 +114,7 @@ def map_arrow(df: DataFrame, add: Callable[[pa.RecordBatch], dict | None], field
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text_col):
+            for part in slices(batch, text_col, limit):
                 made = add(part)
                 cols = [part.column(c) for c in rest] + [made[n] if isinstance(made[n], pa.Array) else pa.array(made[n], k) for n, k in zip(new, kinds)]
                 yield pa.RecordBatch.from_arrays(cols, names=rest + new)

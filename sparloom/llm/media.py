@@ -5,7 +5,7 @@ consecutive images 16 pixels wide, TILE_ROWS rows at most; their RIFF files foll
 
 Each image is written the way that takes fewest bits by an estimate from its own pixels, one rule for all sizes: as it is, or after
 subtract-green, cross-colour, the best predictor (with or without one of these) or a palette; with back-references; without or
-with a colour cache of one of CACHES sizes. The choice depends on the text alone: equal texts have equal media. Every stored image
+with a colour cache. The choice depends on the text alone: equal texts have equal media. Every stored image
 is read by the general reader.
 """
 
@@ -26,13 +26,15 @@ UNIT = 64
 WIDTH = 16
 TILE_ROWS = 4096
 #: Bits of the colour caches that are tried beside none.
-CACHES = (7, 10)
+CACHES = (8,)
 #: Bits that the header takes for each symbol and each cache key in use, and for a transform with one tile: rough averages.
 SYMBOL_BITS, KEY_BITS, TILE_BITS = 5, 8, 50
-#: Predictors that are tried: left, top, mean of both, the nearer of both, and the gradient.
-MODES = (1, 2, 7, 11, 12)
+#: Predictors that are tried: left, top, the nearer of both, and the gradient.
+MODES = (1, 2, 11, 12)
 #: Side of the tiles of predictor and cross-colour, as a power of two: the largest of the format.
 SHIFT = 9
+#: Bytes of media that are read back at a time: the more, the fewer steps.
+READ_BYTES = 8 << 20
 #: Bytes of images whose transforms are compared at a time.
 COMPARED = 1 << 20
 
@@ -91,14 +93,14 @@ class Compared:
 
     def crossed(self) -> tuple[np.ndarray, np.ndarray]:
         """Multipliers (images, 3) of green to red, green to blue and red to blue by least squares, and their bits."""
-        signed = (self.c.astype(np.int64) ^ 128) - 128
+        signed = self.c.view(np.int8).astype(np.int32)
         sums = lambda x: np.add.reduceat(x.sum(axis=1), self.first)
         n = sums(np.ones(self.c.shape[:2]))
 
         def slope(x: np.ndarray, y: np.ndarray) -> np.ndarray:
             sx, sy = sums(x), sums(y)
             spread = sums(x * x) - sx * sx / n
-            return np.clip(np.rint(32 * (sums(x * y) - sx * sy / n) / np.maximum(spread, 1)), -128, 127).astype(np.int64)
+            return np.clip(np.rint(32 * (sums(x * y) - sx * sy / n) / np.maximum(spread, 1)), -128, 127).astype(np.int32)
 
         spread = lambda t: np.repeat(t, np.diff(np.r_[self.first, len(self.c)]))[:, None]
         blue, green, red = signed[..., 0], signed[..., 1], signed[..., 2]
@@ -264,7 +266,7 @@ def feature(images: list[np.ndarray], payload: bytes) -> str:
 def store(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Columns `keep` of docs (all when None) with n_bytes long, the text's UTF-8 bytes, and media binary.
 
-    A null text is stored like an empty one. Texts of any length; columns named like a new one are replaced. No shuffle.
+    A null text is stored like an empty one, repeated rows like each other; an empty table gives no rows. Texts of any length; columns named like a new one are replaced. No shuffle.
     """
 
     def add(batch: pa.RecordBatch) -> dict:
@@ -302,4 +304,4 @@ def read_back(stored: DataFrame, media_col: str = "media", keep: list[str] | Non
             rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(m), hashlib.sha256(m).hexdigest(), feature(images, payload)))
         return {n: [r[i] for r in rows] for i, n in enumerate(names)}
 
-    return map_arrow(stored, add, [T.StructField(n, k) for n, k in zip(names, kinds)], media_col, keep)
+    return map_arrow(stored, add, [T.StructField(n, k) for n, k in zip(names, kinds)], media_col, keep, READ_BYTES)

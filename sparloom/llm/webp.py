@@ -64,7 +64,8 @@ def code_lengths(counts: np.ndarray | list[int], limit: int = LONGEST) -> np.nda
     if len(used) < 2:
         lengths[used] = 1
         return lengths
-    floor = 1
+    # Rare symbols count as more, lest their codes pass the limit.
+    floor = max(1, int(counts.sum()) >> limit - 1)
     while True:
         weights = np.maximum(counts[used], floor)
         order = np.argsort(weights, kind="stable")
@@ -93,13 +94,15 @@ def many_lengths(counts: np.ndarray, bounds: np.ndarray, limit: int = LONGEST) -
         n, rows = int(size[-1]), len(part)
         inside = np.arange(n) < size[:, None]
         at = np.where(inside, bounds[part][:, None] + np.arange(n), 0)
-        weight = np.where(inside, counts[at], np.iinfo(np.int64).max)
+        limits = np.where(size > 1 << limit - 1, LONGEST, limit)[:, None]
+        least = np.where(inside, counts[at], 0).sum(axis=1, keepdims=True) >> limits - 1
+        weight = np.where(inside, np.maximum(counts[at], least), np.iinfo(np.int64).max)
         order = np.argsort(weight, axis=1, kind="stable")
         weight = np.take_along_axis(weight, order, axis=1)
         lengths = np.empty_like(order)
         np.put_along_axis(lengths, order, _depths_side(weight, size), axis=1)
         out[at[inside]] = lengths[inside]
-        for i in np.flatnonzero(np.where(inside, lengths, 0).max(axis=1) > limit).tolist():
+        for i in np.flatnonzero(np.where(inside, lengths, 0).max(axis=1) > limits[:, 0]).tolist():
             start, stop = bounds[part[i]], bounds[part[i] + 1]
             out[start:stop] = code_lengths(counts[start:stop], limit)
     return out
@@ -617,7 +620,7 @@ def read_image(data: bytes) -> np.ndarray:
 
 
 #: Images that are read side by side, their pixels together, and how many at least.
-SIDE, SIDE_PIXELS, SIDE_LEAST = 2048, 1 << 20, 32
+SIDE, SIDE_PIXELS, SIDE_LEAST = 8192, 1 << 22, 64
 
 
 def read_images(streams: list[bytes]) -> list[np.ndarray]:
@@ -719,7 +722,7 @@ class _Side:
         base = np.cumsum(room) - room
         owner = np.repeat(np.arange(5 * n), room)
         turned = _REVERSED[np.arange(len(owner)) - base[owner]] >> LONGEST - bits[owner]
-        self.pairs = np.repeat((used - first[of] << 4 | size)[order], share[order])[base[owner] + turned]
+        self.pairs = np.repeat((used - first[of] << 4 | size)[order].astype(np.int32), share[order])[base[owner] + turned]
         self.book, self.mask = base.reshape(n, 5).T.copy(), (room - 1).reshape(n, 5).T.copy()
 
     def _lengths(self, who: np.ndarray, left: np.ndarray, owns: list[tuple[list[int], int]], lengths: np.ndarray, first: np.ndarray, size: np.ndarray) -> None:
@@ -766,7 +769,7 @@ class _Side:
         for alphabet, shift in ((1, 16), (2, 0), (3, 24)):
             pair = self.pairs[self.book[alphabet][which] + (self.words[p >> 3] >> (p & 7) & self.mask[alphabet][which])]
             p = p + (pair & 15)
-            out = out | pair >> 4 << shift
+            out = out | (pair >> 4).astype(np.int64) << shift
         self.at[which] = p
         return out
 
@@ -797,7 +800,6 @@ class _Side:
             while total[live - 1] <= step:
                 live -= 1
             told = np.flatnonzero(left[:live] == 0)
-            self.check(told)
             s = self.symbol(told, 0)
             plain = s < 256
             who = told[plain]
@@ -811,7 +813,7 @@ class _Side:
                     code = self.value(who, self.symbol(who, 4))
                     near = np.minimum(code, len(NEAR)) - 1
                     back[who] = np.where(code > len(NEAR), code - len(NEAR), np.maximum(1, _NEAR_X[near] + _NEAR_Y[near] * width[who]))
-                    if (back[who] > n[who] - place[who]).any() or (n[who] + left[who] > last[who]).any():
+                    if ((back[who] > n[who] - place[who]) | (left[who] > last[who] - n[who])).any():
                         raise ValueError("a reference leaves the image")
                 who = told[s >= 280]
                 if len(who):
