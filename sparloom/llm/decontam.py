@@ -5,7 +5,8 @@ of an item; a shorter item with words is one window. The automaton's alphabet is
 word by word, and a match ends on a word whose place in the original text is known.
 
 A null or empty text has no words and no hits; an item without words has no window; repeated items or windows count
-once for each item id. Texts and items may be of any length.
+once for each item id. Texts and items may be of any length. Repeated documents, and documents without an id, stay rows of
+their own. An empty table of documents gives no rows, an empty benchmark no hits.
 """
 
 from __future__ import annotations
@@ -14,15 +15,21 @@ import re
 from collections import defaultdict
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import binary, map_arrow
+from .common import binary, map_arrow, written
 
 WINDOW = 13
-#: Bytes of benchmark text in one automaton. A larger benchmark is scanned in as many blocks as that takes.
-BLOCK_BYTES = 8 << 20
+#: Bytes of benchmark text in one automaton, which takes some 150 times as much memory in each Python worker. A larger benchmark is
+#: scanned in as many blocks as that takes, one after the other.
+BLOCK_BYTES = 2 << 20
+#: Most children of a node of the automaton.
+BASE = 512
+#: Windows of an item that stay together; those of a longer item may lie in several blocks.
+PIECE = 50_000
 
 #: ASCII bytes that separate words become a space, A-Z become a-z; bytes of non-ASCII characters stay.
 _NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -51,7 +58,11 @@ def windows(items: list[tuple[str, bytes]], size: int = WINDOW) -> dict[tuple[by
 
 
 class Scanner:
-    """The automaton, built once in each Python worker; words are coded as single characters."""
+    """The automaton, built once in each Python worker.
+
+    A word is coded as `width` characters, its number's digits to the base BASE, each place with characters of its own: so a match
+    begins and ends with a word, any number of words can be told apart, and no node has more than BASE children.
+    """
 
     def __init__(self, items: list[tuple[str, bytes]], size: int):
         self.items, self.size, self.automaton = items, size, None
@@ -62,14 +73,17 @@ class Scanner:
     def build(self) -> None:
         import ahocorasick
 
-        # Surrogates can't be characters of a text, so the codes leave them out.
-        self.codes: dict[bytes, str] = {}
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY)
-        for window, ids in windows(self.items, self.size).items():
+        found = windows(self.items, self.size)
+        numbers: dict[bytes, int] = {}
+        for window in found:
             for w in window:
-                n = len(self.codes) + 1
-                self.codes.setdefault(w, chr(n if n < 0xD800 else n + 0x800))
-            self.automaton.add_word("".join(self.codes[w] for w in window), (len(window), tuple(dict.fromkeys(ids))))
+                numbers.setdefault(w, len(numbers))
+        self.width = next(k for k in range(1, 9) if len(numbers) <= BASE**k)
+        self.codes = {w: "".join([chr(1 + BASE * k + n // BASE**k % BASE) for k in range(self.width)]) for w, n in numbers.items()}
+        self.unknown = "\0" * self.width
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY)
+        for window, ids in found.items():
+            self.automaton.add_word("".join([self.codes[w] for w in window]), (len(window), tuple(dict.fromkeys(ids))))
         if len(self.automaton):
             self.automaton.make_automaton()
 
@@ -80,11 +94,12 @@ class Scanner:
         w = words(text)
         if not len(self.automaton) or not w:
             return len(w), [], set()
-        code = self.codes.get
+        code, unknown, width = self.codes.get, self.unknown, self.width
         ranges: list[tuple[int, int]] = []
         ids: set[str] = set()
         seen = set()
-        for end, (n, items) in self.automaton.iter("".join([code(x, "\0") for x in w])):
+        for at, (n, items) in self.automaton.iter("".join([code(x, unknown) for x in w])):
+            end = at // width
             first = end + 1 - n
             while ranges and ranges[-1][1] >= first:
                 first = min(first, ranges.pop()[0])
@@ -95,13 +110,14 @@ class Scanner:
         return len(w), ranges, ids
 
 
-def merge(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for s, e in sorted(a + b):
+def merge(found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """Ranges of words with their offsets, (start, end, start, end), those that overlap or touch made one."""
+    out: list[tuple[int, int, int, int]] = []
+    for s, e, a, b in sorted(found):
         if out and out[-1][1] >= s:
-            out[-1] = (out[-1][0], max(e, out[-1][1]))
+            out[-1] = (out[-1][0], max(e, out[-1][1]), out[-1][2], max(b, out[-1][3]))
         else:
-            out.append((s, e))
+            out.append((s, e, a, b))
     return out
 
 
@@ -120,63 +136,78 @@ def spans(text: bytes, ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def blocks(benchmark: DataFrame, item_col: str, text_cols: list[str], block_bytes: int) -> list[list[tuple[str, bytes]]]:
-    """The items' ids and texts (each text column a text of its own), in blocks of about block_bytes."""
-    total = benchmark.agg(*[F.sum(F.octet_length(c)).alias(f"_{i}") for i, c in enumerate(text_cols)]).first()
-    n = max(1, -(-sum(x or 0 for x in total) // block_bytes))
-    rows = benchmark.select(F.col(item_col).cast("string").alias("item"), F.explode(F.array(*text_cols)).alias("text")).where("text is not null")
-    block = F.pmod(F.xxhash64("item", "text"), F.lit(n))
-    return [[(r.item or "", r.text.encode()) for r in (rows.where(block == b) if n > 1 else rows).sort("item", "text").collect()] for b in range(n)]
+def pieces(benchmark: DataFrame, item_col: str, text_cols: list[str], size: int, piece: int = PIECE) -> DataFrame:
+    """Distinct (item string, text string): each text column's words, cut so that a piece has `piece` windows at most and every
+    window lies in one."""
+    texts = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.explode(F.array(*text_cols)).alias("text")).where("text is not null")
+
+    def cut(batches):
+        for batch in batches:
+            items, made = [], []
+            for item, text in zip(batch.column("item").to_pylist(), binary(batch.column("text")).to_pylist()):
+                w = words(text)
+                for i in range(0, max(1, len(w) - size + 1), piece):
+                    items.append(item)
+                    made.append(b" ".join(w[i : i + piece + size - 1]).decode("utf-8", "replace"))
+            yield pa.RecordBatch.from_arrays([pa.array(items, pa.string()), pa.array(made, pa.string())], names=["item", "text"])
+
+    return texts.mapInArrow(cut, "item string, text string").where("text <> ''").distinct()
+
 
+def _scanned(docs: DataFrame, items: list, text_col: str, keep: list[str] | None, size: int) -> tuple[DataFrame, Broadcast]:
+    shared = docs.sparkSession.sparkContext.broadcast(Scanner([(r.item, r.text.encode()) for r in items], size))
 
-def find_benchmark_text(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", bench_cols: list[str] | None = None, keep: list[str] | None = None, size: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    def add(batch: pa.RecordBatch) -> dict:
+        made: dict[str, list] = {f.name: [] for f in FIELDS}
+        for text in binary(batch.column(text_col)).to_pylist():
+            n, ranges, ids = shared.value.scan(text or b"")
+            pair = lambda xs: [{"start": s, "end": e} for s, e in xs]
+            for name, value in zip(made, (n, pair(ranges), pair(spans(text or b"", ranges)), sorted(ids))):
+                made[name].append(value)
+        return made
+
+    return map_arrow(docs, add, FIELDS, text_col, keep), shared
+
+
+def find_benchmark_text(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", bench_cols: list[str] | None = None, keep: list[str] | None = None, size: int = WINDOW, block_bytes: int = BLOCK_BYTES, piece: int = PIECE) -> DataFrame:
     """Columns `keep` of docs (all when None) with n_words, hit_words and hit_spans (half-open ranges of words, and of
     code points in the original text) and items (sorted ids of items with an occurring window).
 
-    No shuffle: each block's automaton goes to the tasks, and texts are scanned where they are read. A benchmark over
-    block_bytes is scanned block by block over the same rows, each block adding to the hits of those before it.
-    Columns of docs named like a new one are replaced.
+    The automaton goes to the tasks, and texts are scanned where they are read, without a shuffle. A benchmark over block_bytes
+    is dealt over blocks by a hash; docs are then written once with row numbers, each block in turn is collected, scanned for and
+    let go, its hits are written, and hits of a row are merged. So driver and tasks hold one block at a time. Columns of
+    docs named like a new one are replaced.
     """
-    out = docs
-    for i, items in enumerate(blocks(benchmark, item_col, bench_cols or ["text"], block_bytes)):
-        shared = docs.sparkSession.sparkContext.broadcast(Scanner(items, size))
-
-        def add(batch: pa.RecordBatch, shared=shared, later=i > 0) -> dict:
-            scanner = shared.value
-            texts = binary(batch.column(text_col)).to_pylist()
-            before = list(zip(batch.column("hit_words").to_pylist(), batch.column("items").to_pylist())) if later else None
-            made: dict[str, list] = {f.name: [] for f in FIELDS}
-            for k, text in enumerate(texts):
-                n, ranges, ids = scanner.scan(text or b"")
-                if before:
-                    ranges = merge([(x["start"], x["end"]) for x in before[k][0]], ranges)
-                    ids |= set(before[k][1])
-                pair = lambda xs: [{"start": s, "end": e} for s, e in xs]
-                for name, value in zip(made, (n, pair(ranges), pair(spans(text or b"", ranges)), sorted(ids))):
-                    made[name].append(value)
-            return made
-
-        if i:  # what the scan before found is read again, then replaced
-            found = {f.name: f"_{f.name}" for f in FIELDS}
-            names = out.columns
-            later = _again(out, add, text_col)
-            out = later.select(*names)
-        else:
-            wanted = None if keep is None else list(dict.fromkeys([*keep, text_col]))
-            out = map_arrow(docs, add, FIELDS, text_col, wanted)
-    return out if keep is None else out.select(*[c for c in keep if c not in {f.name for f in FIELDS}], *[f.name for f in FIELDS])
-
-
-def _again(df: DataFrame, add, text_col: str) -> DataFrame:
-    def run(batches):
+    cut = written(pieces(benchmark, item_col, bench_cols or ["text"], size, piece))
+    n = -(-(cut.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes)
+    if n <= 1:
+        return _scanned(docs, cut.sort("item", "text").collect(), text_col, keep, size)[0]
+    new = {f.name for f in FIELDS}
+    rest = [c for c in (docs.columns if keep is None else keep) if c not in new]
+    rows = written(docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*rest, text_col])]).withColumn("_row_number", F.monotonically_increasing_id()))
+    hits = None
+    for b in range(n):
+        block = cut.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == b).sort("item", "text").collect()
+        found, shared = _scanned(rows, block, text_col, ["_row_number"], size)
+        found = written(found if b == 0 else found.where(F.size("items") > 0))
+        shared.destroy()
+        hits = found if hits is None else hits.unionByName(found)
+
+    def merged(batches):
         from pyspark.sql.pandas.types import to_arrow_type
 
+        kinds = [pa.int64(), *[to_arrow_type(f.dataType) for f in FIELDS]]
         for batch in batches:
-            made = add(batch)
-            new = {f.name: pa.array(made[f.name], to_arrow_type(f.dataType)) for f in FIELDS}
-            yield pa.RecordBatch.from_arrays([new.get(c, batch.column(c)) for c in batch.schema.names], names=batch.schema.names)
-
-    return df.mapInArrow(run, df.schema)
+            made = []
+            for row, n_words, parts in zip(*[batch.column(c).to_pylist() for c in ("_row_number", "n_words", "parts")]):
+                found = merge([(w["start"], w["end"], s["start"], s["end"]) for p in parts for w, s in zip(p["hit_words"], p["hit_spans"])])
+                pair = lambda i: [{"start": x[i], "end": x[i + 1]} for x in found]
+                made.append((row, n_words, pair(0), pair(2), sorted({i for p in parts for i in p["items"]})))
+            yield pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], k) for i, k in enumerate(kinds)], names=["_row_number", *[f.name for f in FIELDS]])
+
+    schema = T.StructType([T.StructField("_row_number", T.LongType()), *FIELDS])
+    joined = hits.groupBy("_row_number").agg(F.first("n_words").alias("n_words"), F.collect_list(F.struct("hit_words", "hit_spans", "items")).alias("parts")).mapInArrow(merged, schema)
+    return rows.select("_row_number", *[F.col(f"`{c}`") for c in rest]).join(joined, "_row_number").drop("_row_number")
 
 
 def n_hit() -> F.Column:
