@@ -1,7 +1,7 @@
 """Best-fit packing into bins of several permitted sizes.
 
 A document's tokens, here its UTF-8 bytes and an end mark, are cut into pieces of the largest size at most. Pieces are
-dealt over shards of bounded size by a hash, and each shard is packed on its own: longest piece first, into the open bin
+dealt over shards of bounded size by a hash of id, place and row, so that rows of one id spread too, and each shard is packed on its own: longest piece first, into the open bin
 with the least room that suffices; where none does, a bin opens whose size costs least for each token that it can still
 be given. A shard is packed once for each size as the largest to open, the cheapest packing stays, and at last each
 bin shrinks to the smallest size that holds its contents. What shards lose against one packing of all is one
@@ -88,20 +88,22 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     n_tokens: token count of a document, byte_tokens of the text when None. Every token of every document is in one
     bin; a document without text has its end mark. Repeated rows are packed one by one, equal lengths in order of id
-    and piece. An empty table gives no rows. Only ids and lengths are shuffled.
+    and piece; any number of them, and of rows without an id, spreads over the shards. An empty table gives no rows. Only ids
+    and lengths are shuffled.
     """
     cost, largest = costs(sizes, overhead), max(sizes)
     tokens = byte_tokens(F.col(f"`{text_col}`")) if n_tokens is None else n_tokens
     slim = checkpoint(docs.select(F.col(f"`{id_col}`").alias(id_col), tokens.alias("_tokens")))
     total = slim.agg(F.sum(F.ceil(F.col("_tokens") / largest))).first()[0] or 0
     shards = max(1, math.ceil(total / rows_per_shard))
-    pieces = slim.where("_tokens > 0").select(id_col, "_tokens", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_tokens") - 1, F.lit(largest).cast("long"))).alias("start"))
+    # Rows keep their numbers, as the checkpoint keeps their places.
+    pieces = slim.withColumn("_row", F.monotonically_increasing_id()).where("_tokens > 0").select(id_col, "_tokens", "_row", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_tokens") - 1, F.lit(largest).cast("long"))).alias("start"))
     pieces = pieces.select(
         id_col,
         (F.col("start") / largest).cast("int").alias("piece"),
         "start",
         F.least(F.col("_tokens") - F.col("start"), F.lit(largest)).cast("int").alias("length"),
-        F.pmod(F.xxhash64(F.col(id_col), "start"), F.lit(shards)).cast("int").alias("_shard"),
+        F.pmod(F.xxhash64(F.col(id_col), "start", "_row"), F.lit(shards)).cast("int").alias("_shard"),
     )
     schema = T.StructType([*[pieces.schema[c] for c in (id_col, "piece", "start", "length")], T.StructField("bin_id", T.LongType()), *[T.StructField(c, T.IntegerType()) for c in ("bin_size", "bin_used", "bin_start")]])
 
