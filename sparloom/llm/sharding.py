@@ -12,6 +12,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import checkpoint
+
 #: Rows that are numbered together by one task.
 ROWS_PER_BUCKET = 20_000
 
@@ -46,17 +48,17 @@ def assign_shards(df: DataFrame, key: str, weights: list[float], shard_col: str
 def number_slots(df: DataFrame, shard_col: str, key: str, order: list[str], n_shards: int, rows_per_bucket: int = ROWS_PER_BUCKET, slot_col: str = "slot") -> DataFrame:
     """df with `slot_col` long: 0, 1, ... without gaps within each shard.
 
-    A shard may hold any number of rows, so it is cut into buckets by a hash of the key and the columns of order; counts
-    of buckets give each bucket its first slot, and rows are numbered inside their bucket. A key with many different rows
-    thus spreads over buckets. Repeated rows get slots of their own. df is read three times: pass one that is checkpointed.
+    A shard may hold any number of rows, so it is cut into buckets by a hash of the columns of order and the row's number; counts of
+    buckets give each bucket its first slot, and rows are numbered inside their bucket. Even equal rows thus spread over
+    buckets, and no bucket passes about rows_per_bucket rows, however uneven the shards are. df is checkpointed, so that row
+    numbers stay. Repeated rows get slots of their own; an empty table gives an empty table.
     """
-    by = list(dict.fromkeys([key, *order]))
-    counts = df.select(shard_col, *[c for c in by if c != shard_col])
-    buckets = max(1, math.ceil(counts.count() / (n_shards * rows_per_bucket)))
-    bucket = F.pmod(F.xxhash64(*[F.col(c) for c in by]), F.lit(buckets)).cast("int")
-    counts = counts.select(shard_col, bucket.alias("_bucket")).groupBy(shard_col, "_bucket").agg(F.count(F.lit(1)).alias("_rows"))
+    df = checkpoint(df.withColumn("_row", F.monotonically_increasing_id()))
+    buckets = max(1, math.ceil(df.count() / rows_per_bucket))
+    bucket = F.pmod(F.xxhash64(*[F.col(c) for c in dict.fromkeys([*order, "_row"])]), F.lit(buckets)).cast("int")
+    counts = df.select(shard_col, bucket.alias("_bucket")).groupBy(shard_col, "_bucket").agg(F.count(F.lit(1)).alias("_rows"))
     before = Window.partitionBy(shard_col).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.select(shard_col, "_bucket", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_first"))
-    inside = F.row_number().over(Window.partitionBy(shard_col, "_bucket").orderBy(*order)) - 1
+    inside = F.row_number().over(Window.partitionBy(shard_col, "_bucket").orderBy(*order, "_row")) - 1
     numbered = df.withColumn("_bucket", bucket).withColumn("_inside", inside)
-    return numbered.join(first, [shard_col, "_bucket"]).withColumn(slot_col, F.col("_first") + F.col("_inside")).drop("_bucket", "_first", "_inside")
+    return numbered.join(first, [shard_col, "_bucket"]).withColumn(slot_col, F.col("_first") + F.col("_inside")).drop("_bucket", "_first", "_inside", "_row")
