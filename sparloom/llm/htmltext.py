@@ -5,8 +5,8 @@ attributes' words, its ancestors and its siblings; boosted trees, fitted in nump
 holds main text. Decoding picks the likeliest labelling of the whole tree in which nothing under a dropped node is kept, so
 choices of ancestor and descendant can't contradict each other.
 
-Labels for fitting come from at most SAMPLE pages, chosen by a hash of the id: pages that mark their article are taken as they
-are, and every sampled page's text is laid out anew in random layouts, whose main part is known, so that the trees
+Labels for fitting come from at most SAMPLE distinct pages, chosen by a hash of the page: those that mark their article are taken
+as they are, from first to last character, and every sampled page's text is laid out anew in random layouts, whose main part is known, so that the trees
 don't depend on one site's markup.
 """
 
@@ -24,12 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_arrow
+from .common import map_arrow, sample_texts
 
-#: Pages that the trees are fitted on, random layouts for each, and characters of a page that fitting looks at.
+#: Pages that the trees are fitted on, and random layouts for each.
 SAMPLE = 240
 LAYOUTS = 5
-SAMPLE_CHARS = 20_000
 TREES, DEPTH, BINS, SHRINK = 60, 4, 32, 0.2
 
 # Fixed values of HTML: elements without end tag, inline elements, elements whose text is never page text, and what a
@@ -440,18 +439,17 @@ def fit(pages: list[str], seed: int = 1) -> Boosted | None:
     return boost(np.concatenate(xs), np.concatenate(ys)) if xs else None
 
 
-def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample: int = SAMPLE) -> Boosted | None:
-    n = pages.count()
-    key = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("html")), F.lit(1 << 20))
-    rows = pages.where(F.col(html_col).isNotNull() & (key < int(min(1.0, sample / max(n, 1)) * (1 << 20)))).select(F.substring(html_col, 1, SAMPLE_CHARS).alias("page")).sort("page").collect()
-    return fit([r["page"] for r in rows])
+def train(pages: DataFrame, html_col: str = "html", sample: int = SAMPLE) -> Boosted | None:
+    """Trees fitted on at most `sample` distinct pages, whatever their ids; None where no page has text (or there is none)."""
+    rows = sample_texts(pages.select(F.col(f"`{html_col}`").alias("text")), sample).sort("text").collect()
+    return fit([r["text"] for r in rows])
 
 
 def extract_main_text(pages: DataFrame, trees: Boosted | None, html_col: str = "html", keep: list[str] | None = None) -> DataFrame:
     """Columns `keep` of pages (all when None) with text string and n_chars long, its code points.
 
     The whole page is read; a null or empty page, or one without main text, has an empty text. Without trees (no page
-    to fit them on had text) every text outside markup counts. Columns named like a new one are replaced. No shuffle.
+    to fit them on had text) every text outside markup counts. Repeated rows have equal texts; an empty table gives no rows. Columns named like a new one are replaced. No shuffle.
     """
 
     def add(batch: pa.RecordBatch) -> dict:
