@@ -2,9 +2,9 @@
 
 The network reads windows of WINDOW bytes of lower-cased text: byte vectors, filters of several widths, the maximum of
 each filter over the window, and a softmax. A text's windows cover it from first to last byte; the mean of their
-predictions, weighted by bytes, gives language and score. Fitting takes pieces of at most SAMPLE documents of each
-language, chosen by a hash of the id; that sample, at most SAMPLE * PIECES * WINDOW characters a language, is all that
-reaches the driver.
+predictions, weighted by bytes, gives language and score. Fitting takes pieces of at most SAMPLE distinct texts of each
+language, chosen by a hash of the text, so ids may be null or repeated. That sample, at most SAMPLE * PIECES * WINDOW characters a
+language for at most LANGUAGES languages, is all that reaches the driver; more languages are an error, never left out.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_arrow
+from .common import map_arrow, sample_texts
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -27,7 +27,7 @@ CODE = 8
 #: Documents of each language and pieces of each document that the network is fitted on.
 SAMPLE = 800
 PIECES = 4
-#: The most frequent languages that are learnt.
+#: Most languages that may be learnt.
 LANGUAGES = 256
 EPOCHS = 6
 RATE = 0.01
@@ -139,18 +139,16 @@ def fit(texts: list[str], labels: list[str], seed: int = 1) -> Network:
     return net
 
 
-def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int, pieces: int) -> list:
-    """Rows (id, text, lang): pieces spread over about per_language documents of each language, by a hash of the id."""
-    key = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("langid")), F.lit(1 << 20))
-    labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = labelled.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    if not counts:
-        return []
-    share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(int(min(1.0, per_language / r["count"]) * (1 << 20))))])
-    text, span = F.col(text_col), F.greatest(F.length(text_col) - WINDOW, F.lit(0))
-    cuts = [F.substring(text, (F.floor(span * (i / max(pieces - 1, 1))) + 1).cast("int"), F.lit(WINDOW)) for i in range(pieces)]
-    rows = labelled.where(key < F.element_at(share, F.col(lang_col)))
-    return rows.select(F.col(id_col).cast("string").alias("id"), F.explode(F.array_distinct(F.array(*cuts))).alias("text"), F.col(lang_col).alias("lang")).sort("id", "lang", "text").collect()
+def sample(docs: DataFrame, text_col: str, lang_col: str, per_language: int, pieces: int, languages: int = LANGUAGES) -> list:
+    """Rows (text, lang): pieces spread over at most per_language distinct texts of each language."""
+    labelled = docs.select(F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text")).where("lang is not null and text is not null")
+    found = labelled.select("lang").distinct().limit(languages + 1).count()
+    if found > languages:
+        raise ValueError(f"there are over {languages} languages: pass a larger bound")
+    span = F.greatest(F.length("text") - WINDOW, F.lit(0))
+    cuts = [F.substring(F.col("text"), (F.floor(span * (i / max(pieces - 1, 1))) + 1).cast("int"), F.lit(WINDOW)) for i in range(pieces)]
+    rows = sample_texts(labelled, per_language, ["lang"])
+    return rows.select(F.explode(F.array_distinct(F.array(*cuts))).alias("text"), "lang").sort("lang", "text").collect()
 
 
 def held_out(id_col: str, parts: int, left: int) -> Column:
@@ -158,16 +156,20 @@ def held_out(id_col: str, parts: int, left: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % parts == left
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = SAMPLE, pieces: int = PIECES) -> Network | None:
-    """The network of the labelled documents; None where there are none."""
-    rows = sample(docs, id_col, text_col, lang_col, per_language, pieces)
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = SAMPLE, pieces: int = PIECES, languages: int = LANGUAGES) -> Network | None:
+    """The network of the labelled documents; None where there are none (an empty table, or null texts or languages alone).
+
+    Repeated rows count once. Raises ValueError where there are more than `languages` languages.
+    """
+    rows = sample(docs, text_col, lang_col, per_language, pieces, languages)
     return fit([r["text"] for r in rows], [r["lang"] for r in rows]) if rows else None
 
 
 def identify(docs: DataFrame, network: Network | None, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Columns `keep` of docs (all when None) with lang_pred string and score double (0 to 1).
 
-    A null text or one without letters is `und` with score 0, and so is every text where nothing could be learnt.
+    A null text or one without letters is `und` with score 0, and so is every text where nothing could be learnt. Repeated
+    rows are predicted alike; an empty table gives no rows.
     Whole texts of any length are read, where they are; columns of docs named like a new one are replaced.
     """
 
