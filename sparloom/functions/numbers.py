@@ -22,7 +22,11 @@ def number(token: Column, kind: str) -> Column:
 
 
 def printf(value: Column, pattern: str) -> Column:
-    """value as C's printf writes it: JVM formats keep trailing zeros in %g, C and Python drop them."""
+    """value as C's printf writes it.
+
+    This needs the digits of the exact binary value: JVM formats start from the shortest text that reads back, so they pad
+    0.1 with zeros where 19 digits are asked for, and round it twice where fewer are. Hence Arrow batches and Python's own format.
+    """
 
     @F.pandas_udf("string")
     def text(values: pd.Series) -> pd.Series:

@@ -29,6 +29,11 @@ def order_part_tax(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _entries(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey", F.round(F.col("l_tax") * 100))
 
 
+def order_part_discount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders by parts: discount in hundredths, zeros stored."""
+    return _entries(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey", F.round(F.col("l_discount") * 100))
+
+
 def supplier_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers by parts: a few long rows."""
     return _entries(table(spark, sf_dir, "lineitem"), "l_suppkey", "l_partkey", F.col("l_quantity"))

@@ -54,8 +54,20 @@ def spmm_columns_k4(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def spmm_shuffled_k4(spark: SparkSession, d: str) -> DataFrame:
-    m, _ = _sizes(spark, d)
-    return _cells(product.spmm(B.order_part(spark, d), B.part_vectors(spark, d, 4), m, 4))
+    return _cells(_spmm(spark, d, strategy="shuffled"))
+
+
+@query
+def spmm_broadcast_k4(spark: SparkSession, d: str) -> DataFrame:
+    return _cells(_spmm(spark, d, strategy="broadcast"))
+
+
+@query
+def spmm_float_k4(spark: SparkSession, d: str) -> DataFrame:
+    """Sums of quarters, rounded to single precision."""
+    m, n = _sizes(spark, d)
+    quarters = B.order_part(spark, d).withColumn("val", F.col("val") / 4)
+    return entries.to_long(product.spmm(quarters, B.part_vectors(spark, d, 4), m, 4, n, dtype="float")).select("row", _long("z").alias("z"), "val")
 
 
 @query
@@ -120,8 +132,7 @@ def adjusted_nz(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def strip_padding(spark: SparkSession, d: str) -> DataFrame:
-    m, _ = _sizes(spark, d)
-    return _entry(entries.strip_padding(layouts.to_slots(layouts.to_ell(B.order_part(spark, d), m))))
+    return _entry(entries.strip_padding(layouts.ell_slot_rows(B.order_part(spark, d), _sizes(spark, d)[0])))
 
 
 @query
@@ -174,6 +185,12 @@ def csr_slots(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def ell_slots(spark: SparkSession, d: str) -> DataFrame:
+    found = layouts.ell_slot_rows(B.order_part(spark, d), _sizes(spark, d)[0])
+    return found.select("row", _long("slot").alias("slot"), "col", _long("val").alias("val"))
+
+
+@query
+def ell_array_slots(spark: SparkSession, d: str) -> DataFrame:
     return _slots(layouts.to_ell(B.order_part(spark, d), _sizes(spark, d)[0]))
 
 
@@ -189,6 +206,24 @@ def layout_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return _entry(layouts.from_layout(rows))
 
 
+@query
+def layout_roundtrip_csr(spark: SparkSession, d: str) -> DataFrame:
+    return _entry(layouts.from_layout(layouts.to_csr(B.order_part(spark, d), _sizes(spark, d)[0])))
+
+
+@query
+def layout_roundtrip_ell(spark: SparkSession, d: str) -> DataFrame:
+    return _entry(layouts.from_layout(layouts.to_ell(B.order_part(spark, d), _sizes(spark, d)[0])))
+
+
+@query
+def hack_offsets(spark: SparkSession, d: str) -> DataFrame:
+    """Where each hack begins, and where the last one ends."""
+    coo, (m, _) = B.order_part(spark, d), _sizes(spark, d)
+    rows = layouts.hack_rows(m, entries.max_nnz(coo).first()[0])
+    return prefix.hack_offsets(layouts.hack_directory(coo, m, rows), -(-m // rows))
+
+
 @query
 def hack_directory(spark: SparkSession, d: str) -> DataFrame:
     coo, (m, _) = B.order_part(spark, d), _sizes(spark, d)
@@ -212,6 +247,12 @@ def part_loads(spark: SparkSession, d: str) -> DataFrame:
     return ranges.part_loads(nnz, ranges.balanced_ranges(nnz, m, PARTS), m).select("part", "load")
 
 
+@query
+def part_imbalance(spark: SparkSession, d: str) -> DataFrame:
+    nnz, m = _part_rows(spark, d)
+    return ranges.part_loads(nnz, ranges.balanced_ranges(nnz, m, PARTS), m).select("part", "imbalance")
+
+
 @query
 def assign_parts(spark: SparkSession, d: str) -> DataFrame:
     nnz, m = _part_rows(spark, d)
@@ -241,8 +282,11 @@ def error_norms(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def align_results(spark: SparkSession, d: str) -> DataFrame:
-    y = _spmm(spark, d)
-    pairs = compare.align(y.where("row % 3 <> 0"), y.where("row % 2 = 0"))
+    """Products of the orders' nonzero taxes and nonzero discounts: orders without one or the other lack a row there."""
+    m, n = _sizes(spark, d)
+    x = B.part_vectors(spark, d, 4)
+    taxes, discounts = (product.spmm(entries.drop_zeros(coo), x, m, 4, n, complete=False) for coo in (B.order_part_tax(spark, d), B.order_part_discount(spark, d)))
+    pairs = compare.align(taxes, discounts)
     return pairs.select("row", F.posexplode("pairs").alias("z", "p")).select("row", _long("z").alias("z"), _long("p.a").alias("a"), _long("p.b").alias("b"))
 
 
@@ -271,6 +315,11 @@ def preview_top10(spark: SparkSession, d: str) -> DataFrame:
     return top.select("row", _long("slot").alias("slot"), "col", _long("val").alias("val"))
 
 
+@query
+def preview_dense(spark: SparkSession, d: str) -> DataFrame:
+    return layouts.preview(_spmm(spark, d), 10).select("row", _long("z").alias("z"), _long("val").alias("val"))
+
+
 @query
 def reshape_long(spark: SparkSession, d: str) -> DataFrame:
     return _cells(B.embedding_vectors(spark, d))
@@ -278,7 +327,8 @@ def reshape_long(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def reshape_wide(spark: SparkSession, d: str) -> DataFrame:
-    wide = entries.to_wide(entries.to_long(B.embedding_vectors(spark, d)).where("z % 3 <> 1"), B.VECTOR)
+    """The positive elements; those left out become zeros again."""
+    wide = entries.to_wide(entries.to_long(B.embedding_vectors(spark, d)).where("val > 0"), B.VECTOR)
     return _cells(wide)
 
 
@@ -341,11 +391,24 @@ def mm_unsymmetric(spark: SparkSession, d: str) -> DataFrame:
     return _entry(coo)
 
 
+@query
+def mm_complex_raw(spark: SparkSession, d: str) -> DataFrame:
+    """Quantities and taxes as real and imaginary parts."""
+    m, n = _sizes(spark, d)
+    path = text.scratch(spark)
+    both = B.table(spark, d, "lineitem").select(_long("l_orderkey").alias("row") + 1, _long("l_partkey").alias("col"), F.col("l_quantity").alias("re"), F.round(F.col("l_tax") * 100).alias("im"))
+    both = both.toDF("row", "col", "re", "im").withColumn("col", F.col("col") + 1)
+    matrix_market.write_mm(both, M.MatrixMeta(field="complex", m=m, n=n), path)
+    coo, _ = matrix_market.read_mm_raw(spark, path)
+    return coo.select("row", "col", _long("re").alias("re"), _long("im").alias("im"))
+
+
 @query
 def mm_array_header(spark: SparkSession, d: str) -> DataFrame:
-    m, _ = _sizes(spark, d)
+    """Header of the dense result's shape, which the entries and the vectors give."""
     path = text.scratch(spark)
-    matrix_market.write_mm_array_header(spark, m, 4, path)
+    last, k = B.order_part(spark, d).agg(F.max("row")).first()[0], len(B.part_vectors(spark, d, 4).first()["x"])
+    matrix_market.write_mm_array_header(spark, last + 1, k, path)
     return matrix_market.read_mm_header(spark, path).to_df(spark).drop("nz")
 
 
@@ -382,4 +445,4 @@ def typecode_rules(spark: SparkSession, d: str) -> DataFrame:
     supported."""
     pick = lambda names, by: F.array(*[F.lit(n) for n in names])[(F.floor(F.col("o_orderkey") / by) % len(names)).cast("int")]
     codes = B.table(spark, d, "orders").select(F.lit("matrix").alias("object"), pick(M.FORMATS, 1).alias("format"), pick(M.FIELDS, 2).alias("field"), pick(M.SYMMETRIES, 8).alias("symmetry"))
-    return codes.groupBy("object", "format", "field", "symmetry").agg(F.count(F.lit(1)).alias("orders")).select("*", M.valid_typecode().alias("valid"), ((F.col("format") == "coordinate") & (F.col("field") != "complex")).alias("supported"))
+    return codes.groupBy("object", "format", "field", "symmetry").agg(F.count(F.lit(1)).alias("orders")).select("*", M.valid_typecode().alias("valid"), M.supported().alias("supported"))

@@ -9,6 +9,7 @@ _LINE = 'SELECT CAST({row} AS BIGINT) AS "row", CAST({col} AS BIGINT) AS col, CA
 A = {
     "a1": _LINE.format(row="l_orderkey", col="l_partkey", val="l_quantity", table="lineitem"),
     "a2": _LINE.format(row="l_orderkey", col="l_partkey", val="round(l_tax * 100)", table="lineitem"),
+    "a7": _LINE.format(row="l_orderkey", col="l_partkey", val="round(l_discount * 100)", table="lineitem"),
     "a3": _LINE.format(row="l_suppkey", col="l_partkey", val="l_quantity", table="lineitem"),
     "a4": _LINE.format(row="greatest(l_suppkey, l_partkey % 100)", col="least(l_suppkey, l_partkey % 100)", val="l_quantity", table="lineitem"),
     "a5": _LINE.format(row="user_id", col="event_id % 500", val="1", table="events"),
@@ -73,14 +74,15 @@ _MIX = lambda x: f"(({x}) * {STIR} + ({x}) // 65536 + 1) % {PRIME}"  # noqa: E73
 
 ORACLE = {
     "spmv_order_part": _product(A["a1"], "SELECT CAST(p_partkey AS BIGINT) AS col, 0 AS z, CAST(p_size AS BIGINT) AS x FROM part", M, 1).replace('i AS "row", z, ', 'i AS "row", ', 1),
-    **dict.fromkeys(("spmm_columns_k4", "spmm_shuffled_k4", "spmm_csr_k4", "spmm_ell_k4", "spmm_hll_k4", "dense_roundtrip"), SPMM),
+    **dict.fromkeys(("spmm_columns_k4", "spmm_shuffled_k4", "spmm_broadcast_k4", "spmm_csr_k4", "spmm_ell_k4", "spmm_hll_k4", "dense_roundtrip"), SPMM),
     "spmm_blocks_k64": _product(A["a5"], E, "(SELECT max(user_id) + 1 FROM events)", 64),
     "drop_zeros": _DROPPED,
     "mm_roundtrip": _DROPPED,
     "rebase": _ENTRY,
     "row_major": _ENTRY,
     "strip_padding": _ENTRY,
-    "layout_roundtrip": _ENTRY,
+    **dict.fromkeys(("layout_roundtrip", "layout_roundtrip_csr", "layout_roundtrip_ell"), _ENTRY),
+    "spmm_float_k4": f'SELECT "row", z, CAST(CAST(val / 4.0 AS FLOAT) AS DOUBLE) AS val FROM ({SPMM})',
     "pattern_values": _with(a1=A["a1"]) + 'SELECT "row", col, CAST(1 AS BIGINT) AS val FROM a1',
     **dict.fromkeys(("mirror_symmetric", "mirror_union", "mm_symmetric_read"), _with(a4=A["a4"]) + _MIRROR),
     "adjusted_nz": _with(a4=A["a4"]) + 'SELECT CAST(sum(CASE WHEN val % 5 = 0 THEN 0 WHEN "row" = col THEN 1 ELSE 2 END) AS BIGINT) AS nz FROM a4',
@@ -94,31 +96,37 @@ ORACLE = {
     "csr_dump_roundtrip": _CSR,
     "csr_slots": _with(**_LAYOUT, cum=_CUM) + 'SELECT "row", cum AS irp, slot, col, val FROM slotted JOIN cum USING ("row")',
     "ell_slots": ELL,
+    "ell_array_slots": ELL,
     "ell_dump_roundtrip": ELL,
     "hll_slots": _with(**_LAYOUT) + _PADDED.format(rows="(SELECT cnt.*, unnest(range(dir.maxnz)) AS s FROM cnt, hk, dir WHERE dir.hack = cnt.\"row\" // rows_per)", width="(SELECT 1) one"),
+    "hack_offsets": _with(**_LAYOUT) + "SELECT hack, hack_offset FROM dir UNION ALL SELECT count(*), CAST(sum(n_rows * maxnz) AS BIGINT) FROM dir",
     "hack_directory": _with(**_LAYOUT) + "SELECT * FROM dir",
     "balanced_ranges": _with(**_PART) + "SELECT * FROM loaded",
     "part_loads": _with(**_PART) + "SELECT part, nnz AS load FROM loaded",
+    "part_imbalance": _with(**_PART) + "SELECT part, max(nnz) OVER () / (sum(nnz) OVER () / CAST(count(*) OVER () AS DOUBLE)) AS imbalance FROM loaded",
     "assign_parts": _with(**_PART) + 'SELECT "row", nnz, part FROM cnt JOIN found ON "row" >= start_row AND "row" < end_row',
     "capacity_blocks": _blocks(_CNT.format(m=N, a=A["a6"]), N, str(CAPACITY)),
     "capacity_blocks_long_rows": _blocks(_CNT.format(m=_S, a=A["a3"]), _S, f"(SELECT CAST(least(ceil(ceil(count(*) / {_S}) / 32) * 32, 1024) AS BIGINT) FROM lineitem)"),
     "error_norms": f"""SELECT CAST(max(gap) AS DOUBLE) AS abs_error, max(gap / CASE WHEN val = 0 THEN 1 ELSE val + gap END) AS rel_error
 FROM (SELECT val, CASE WHEN "row" % 10 = 3 AND val > 0 THEN CAST("row" % 4 AS DOUBLE) ELSE 0 END AS gap FROM {_Y})""",
-    "align_results": f"""SELECT "row", z, CASE WHEN "row" % 3 <> 0 THEN val ELSE 0 END AS a, CASE WHEN "row" % 2 = 0 THEN val ELSE 0 END AS b
-FROM {_Y} WHERE "row" % 3 <> 0 OR "row" % 2 = 0""",
+    "align_results": f"""SELECT coalesce(p."row", q."row") AS "row", coalesce(p.z, q.z) AS z, CAST(coalesce(p.y, 0) AS BIGINT) AS a, CAST(coalesce(q.y, 0) AS BIGINT) AS b
+FROM (SELECT a."row", x.z, sum(a.val * x.x) AS y FROM ({A["a2"]}) a JOIN ({X.format(k=4)}) x USING (col) WHERE a.val <> 0 GROUP BY 1, 2) p
+FULL JOIN (SELECT a."row", x.z, sum(a.val * x.x) AS y FROM ({A["a7"]}) a JOIN ({X.format(k=4)}) x USING (col) WHERE a.val <> 0 GROUP BY 1, 2) q ON p."row" = q."row" AND p.z = q.z""",
     "footprint": _with(**_LAYOUT) + f"""SELECT CAST(4 * ({M} + 1) + 12 * (SELECT count(*) FROM a1) AS BIGINT) AS csr_bytes, CAST(12 * {M} * (SELECT maxnz FROM mx) AS BIGINT) AS ell_bytes,
   CAST(8 * count(*) + 12 * sum(n_rows * maxnz) AS BIGINT) AS hll_bytes, CAST(8 * 4 * ({M} + {N}) AS BIGINT) AS xy_bytes FROM dir""",
     "padding_ratio": _with(**_LAYOUT) + f"""SELECT CAST({M} * (SELECT maxnz FROM mx) AS BIGINT) AS ell_slots, CAST(sum(n_rows * maxnz) AS BIGINT) AS hll_slots,
   {M} * (SELECT maxnz FROM mx) / CAST((SELECT count(*) FROM a1) AS DOUBLE) AS ell_ratio, sum(n_rows * maxnz) / CAST((SELECT count(*) FROM a1) AS DOUBLE) AS hll_ratio FROM dir""",
     "flops": _with(a2=A["a2"]) + "SELECT CAST(2 * 4 * count(*) AS BIGINT) AS flops FROM a2 WHERE val <> 0",
+    "preview_dense": f'SELECT * FROM ({SPMM}) ORDER BY "row", z LIMIT 10',
     "preview_top10": _CSR + ' ORDER BY "row", slot LIMIT 10',
     "reshape_long": f'SELECT col AS "row", z, x AS val FROM ({E})',
-    "reshape_wide": f'SELECT col AS "row", z, CASE WHEN z % 3 = 1 THEN 0 ELSE x END AS val FROM ({E})',
+    "reshape_wide": f'SELECT col AS "row", z, CASE WHEN x > 0 THEN x ELSE 0 END AS val FROM ({E})',
     "random_multivector": f"""SELECT i AS "row", z, {_MIX("v")} / CAST({PRIME - 1} AS DOUBLE) AS val
 FROM (SELECT i, z, {_MIX("u")} AS v FROM (SELECT i, z, (i % {PRIME} * {BY_ROW} + z * {BY_COLUMN} + 11 * {BY_SEED} + 1) % {PRIME} AS u FROM range({N}) AS r(i), range(4) AS q(z)))""",
     "mm_header": f"SELECT 'matrix' AS object, 'coordinate' AS format, 'real' AS field, 'general' AS symmetry, {M} AS m, {N} AS n, (SELECT count(*) FROM lineitem) AS nz",
-    "mm_array_header": f"SELECT 'matrix' AS object, 'array' AS format, 'real' AS field, 'general' AS symmetry, {M} AS m, CAST(4 AS BIGINT) AS n",
+    "mm_array_header": f"SELECT 'matrix' AS object, 'array' AS format, 'real' AS field, 'general' AS symmetry, (SELECT CAST(max(l_orderkey) + 1 AS BIGINT) FROM lineitem) AS m, CAST(4 AS BIGINT) AS n",
     "mm_pattern_read": A["a5"],
+    "mm_complex_raw": "SELECT CAST(l_orderkey + 1 AS BIGINT) AS \"row\", CAST(l_partkey + 1 AS BIGINT) AS col, CAST(l_quantity AS BIGINT) AS re, CAST(round(l_tax * 100) AS BIGINT) AS im FROM lineitem",
     "mm_raw": f'SELECT "row" + 1 AS "row", col + 1 AS col, val FROM ({A["a2"]})',
     "mm_unsymmetric": A["a4"],
     "typecode_rules": """SELECT object, format, field, symmetry, count(*) AS orders,

@@ -57,6 +57,11 @@ def valid_typecode(object: str = "object", format: str = "format", field: str =
     return (F.col(object) == "matrix") & ~dense_pattern & ~real_hermitian & ~pattern_signed
 
 
+def supported(format: str = "format", field: str = "field") -> Column:
+    """The rule of check_supported() over columns."""
+    return (F.col(format) == "coordinate") & (F.col(field) != "complex")
+
+
 def check_supported(meta: MatrixMeta) -> None:
     """Products take coordinate files of real, integer or pattern entries."""
     if meta.format != "coordinate":

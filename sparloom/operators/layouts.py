@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparloom.functions.numbers import ceil_div, round_up
-from sparloom.operators.entries import all_row_nnz, complete_rows, max_nnz, row_nnz
+from sparloom.operators.entries import all_row_nnz, complete_rows, max_nnz, row_nnz, to_long
 from sparloom.operators.prefix import hack_offsets, row_pointers
 
 #: Padded slots per entry beyond which the globally padded layout is refused.
 ELL_LIMIT = 64
+#: Padding slots that are generated together.
+PADDING = 1024
 
 
 class PaddingError(ValueError):
@@ -33,9 +35,10 @@ def slots(coo: DataFrame) -> DataFrame:
 
 
 def to_csr(coo: DataFrame, m: int) -> DataFrame:
-    """(row, irp, nnz int, ja, vals) of every row."""
-    pointers = row_pointers(all_row_nnz(coo, m), m)
-    return grouped_rows(coo, m).join(pointers, "row").select("row", "irp", F.size("ja").alias("nnz"), "ja", "vals")
+    """(row, irp, nnz int, ja, vals) of every row. Pointers come from the rows themselves, whose shuffle Spark uses again."""
+    rows = grouped_rows(coo, m)
+    pointers = row_pointers(rows.select("row", F.size("ja").cast("long").alias("nnz")), m)
+    return rows.join(pointers, "row").select("row", "irp", F.size("ja").alias("nnz"), "ja", "vals")
 
 
 def _pad(rows: DataFrame, width) -> DataFrame:
@@ -49,7 +52,8 @@ def _pad(rows: DataFrame, width) -> DataFrame:
 def to_ell(coo: DataFrame, m: int, limit: float = ELL_LIMIT) -> DataFrame:
     """(row, ja, vals) of every row, padded with column 0 and value 0 to the longest one.
 
-    Raises PaddingError where slots would exceed `limit` for each entry, as one long row among many short ones does.
+    Raises PaddingError where slots would exceed `limit` for each entry, as one long row among many short ones does;
+    ell_slot_rows() gives the slots of any matrix.
     """
     stat = row_nnz(coo).agg(F.coalesce(F.max("nnz"), F.lit(0)), F.coalesce(F.sum("nnz"), F.lit(0))).first()
     width, nz = stat[0], stat[1]
@@ -58,6 +62,19 @@ def to_ell(coo: DataFrame, m: int, limit: float = ELL_LIMIT) -> DataFrame:
     return _pad(grouped_rows(coo, m), F.lit(width))
 
 
+def ell_slot_rows(coo: DataFrame, m: int) -> DataFrame:
+    """(row, slot, col, val): every slot of the layout padded to the longest row, one a record, however uneven the rows are.
+
+    No row is ever one array: an entry's slot is a window's number, and a row's padding is generated by runs of PADDING slots.
+    """
+    width = max_nnz(coo).first()[0]
+    entries = slots(coo).select("row", "slot", "col", F.col("val").cast("double").alias("val"))
+    short = all_row_nnz(coo, m).where(F.col("nnz") < width)
+    runs = short.select("row", F.explode(F.sequence(F.col("nnz"), F.lit(width - 1).cast("long"), F.lit(PADDING).cast("long"))).alias("_from"))
+    padding = runs.select("row", F.explode(F.sequence(F.col("_from").cast("int"), (F.least(F.col("_from") + PADDING, F.lit(width)) - 1).cast("int"))).alias("slot"), F.lit(0).cast("long").alias("col"), F.lit(0.0).alias("val"))
+    return entries.unionByName(padding)
+
+
 def hack_rows(m: int, maxnz: int) -> int:
     """Default rows of a hack: by the least power of two of the longest row's entries, 32 at most, as lanes of a row."""
     lanes = 1
@@ -97,5 +114,7 @@ def from_layout(layout: DataFrame) -> DataFrame:
 
 
 def preview(layout: DataFrame, n: int = 10) -> DataFrame:
-    """The first n slots in storage order; a top-n, not a sort of all."""
+    """The first n slots of a layout, or elements (row, z, val) of a dense multivector, in storage order; a top-n, not a sort of all."""
+    if "x" in layout.columns:
+        return to_long(layout).orderBy("row", "z").limit(n)
     return to_slots(layout).orderBy("row", "slot").limit(n)

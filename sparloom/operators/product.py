@@ -20,22 +20,23 @@ def _zeros(k: int):
 
 def _joined(coo: DataFrame, x: DataFrame, size: int | None, strategy: str) -> DataFrame:
     """Entries with their row of x. size: bytes of x, None if unknown."""
-    small = strategy == "broadcast" or (size is not None and size <= BROADCAST_BYTES)
-    if strategy == "broadcast" and size is not None and size > BROADCAST_BYTES:
-        raise ValueError(f"x has {size} bytes; up to {BROADCAST_BYTES} are broadcast")
+    small = size is not None and size <= BROADCAST_BYTES and strategy != "shuffled"
+    if strategy == "broadcast" and not small:
+        raise ValueError(f"x must have {BROADCAST_BYTES} bytes at most to be broadcast, and n must tell so; it has {size or 'an unknown number'}")
     x = x.withColumnRenamed("row", "col")
-    return coo.select("row", "col", "val").join(F.broadcast(x) if small else x, "col")
+    return coo.select("row", "col", "val").join(F.broadcast(x) if small else x.hint("merge") if strategy == "shuffled" else x, "col")
 
 
-def spmm(coo: DataFrame, x: DataFrame, m: int, k: int, n: int | None = None, strategy: str = "auto", complete: bool = True) -> DataFrame:
+def spmm(coo: DataFrame, x: DataFrame, m: int, k: int, n: int | None = None, strategy: str = "auto", complete: bool = True, dtype: str = "double") -> DataFrame:
     """(row, x array of k) = A X for entries (row, col, val) and X as (row, x array of k); duplicates add up.
 
     n: rows of X, by which its size is checked before it is broadcast; unknown, Spark decides. strategy: "columns" sums
     each column in one aggregation, "blocks" goes by BLOCK columns at a time, "auto" takes blocks beyond BLOCK columns,
-    "broadcast" insists on a broadcast. Partial sums before the shuffle absorb long rows. complete: give all m rows, also
-    those without entries.
+    "broadcast" insists on a broadcast, for which n must be given, and "shuffled" on a join by shuffles. Partial sums before the
+    shuffle absorb long rows. complete: give all m rows, also those without entries. dtype "float" rounds the sums to single
+    precision, as read_mm() does the entries.
     """
-    if strategy not in ("auto", "columns", "blocks", "broadcast"):
+    if strategy not in ("auto", "columns", "blocks", "broadcast", "shuffled"):
         raise ValueError(f"unknown strategy {strategy}")
     size = None if n is None else 8 * n * k
     if k <= BLOCK and strategy != "blocks" or strategy == "columns":
@@ -44,12 +45,15 @@ def spmm(coo: DataFrame, x: DataFrame, m: int, k: int, n: int | None = None, str
         y = sums.select("row", F.array(*[F.col(f"_{z}") for z in range(k)]).alias("x"))
     else:
         cuts = F.array(*[F.struct(F.lit(b).alias("b"), F.slice("x", b * BLOCK + 1, BLOCK).alias("x")) for b in range(-(-k // BLOCK))])
-        blocks = x.select("row", F.explode(cuts).alias("_c")).select("row", F.col("_c.b").alias("b"), F.col("_c.x").alias("x"))
-        joined = _joined(coo, blocks, size, strategy)
+        # The join moves each entry once; its row of x is cut after it.
+        joined = _joined(coo, x.select("row", "x"), size, strategy)
+        joined = joined.select("row", "val", F.explode(cuts).alias("_c")).select("row", "val", F.col("_c.b").alias("b"), F.col("_c.x").alias("x"))
         sums = joined.groupBy("row", "b").agg(*[F.sum(F.col("val") * F.get("x", F.lit(z))).alias(f"_{z}") for z in range(BLOCK)])
         part = F.struct("b", F.array(*[F.col(f"_{z}") for z in range(BLOCK)]).alias("x"))
         y = sums.groupBy("row").agg(F.sort_array(F.collect_list(part)).alias("_p"))
         y = y.select("row", F.slice(F.flatten(F.transform("_p", lambda p: p["x"])), 1, k).alias("x"))
+    if dtype == "float":
+        y = y.withColumn("x", F.transform("x", lambda v: v.cast("float").cast("double")))
     return complete_rows(y, m, {"x": _zeros(k)}) if complete else y
 
 

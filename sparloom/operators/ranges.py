@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -9,19 +11,26 @@ from pyspark.sql import functions as F
 
 from sparloom.functions.numbers import ceil_div, round_up
 from sparloom.operators.prefix import bucket_width
+from sparloom.shared import discard, scratch
 
 #: Rows whose counts one task walks through.
 CHUNK_ROWS = 1 << 18
 
 
 class _Counts:
-    """Running sums of the entries of rows 0 to m - 1: bucket totals are held, a bucket's rows are read when asked for."""
+    """Running sums of the entries of rows 0 to m - 1: bucket totals are held, a bucket's rows are read when asked for.
+
+    The counts, one number a row, are written once by ranges of rows, so the nonzeros are aggregated once and a bucket's rows are
+    found by the files' statistics.
+    """
 
     def __init__(self, nnz: DataFrame, m: int):
-        self.nnz, self.m, self.width = nnz, m, bucket_width(m)
+        self.spark, self.path = nnz.sparkSession, scratch(nnz.sparkSession)
+        nnz.select("row", "nnz").repartitionByRange("row").sortWithinPartitions("row").write.parquet(self.path)
+        self.nnz, self.m, self.width = self.spark.read.schema("row long, nnz long").parquet(self.path), m, bucket_width(m)
         bucket = F.floor(F.col("row") / self.width).cast("long").alias("b")
         totals = np.zeros(ceil_div(m, self.width), np.int64)
-        for b, total in nnz.groupBy(bucket).agg(F.sum("nnz")).collect():
+        for b, total in self.nnz.groupBy(bucket).agg(F.sum("nnz")).collect():
             totals[b] = total
         self.starts = np.r_[0, np.cumsum(totals)]
         self.read: dict[int, np.ndarray] = {}
@@ -80,6 +89,7 @@ def balanced_ranges(nnz: DataFrame, m: int, parts: int) -> DataFrame:
         bounds.append(j + 1 if over < under else j)
     bounds.append(m)
     sums = [counts.before(b) for b in bounds]
+    discard(counts.spark, counts.path)
     rows = [(i, bounds[i], bounds[i + 1], sums[i + 1] - sums[i]) for i in range(parts)]
     return nnz.sparkSession.createDataFrame(rows, "part long, start_row long, end_row long, nnz long")
 
@@ -115,14 +125,38 @@ def _enter(sums: np.ndarray, entry: int, capacity: int) -> int:
     return i - 1 if entry + sums[i] > capacity else i
 
 
+#: The state at a run's end of a block that goes on through all of it.
+OPEN = -2
+
+
+def _exits(sums: np.ndarray, state: list[int], capacity: int) -> tuple[list[int], list[int]]:
+    """Intervals of a block's entries before the run, by their least ones from 0 up, and the state at the run's end of each.
+
+    An open block of `capacity - sums[i]` entries ends after row i - 1 exactly; one with more, up to what ends it sooner, would
+    pass the capacity there and ends before that row.
+    """
+    full = capacity - sums[1:]
+    rows = np.arange(1, len(sums))
+    least = np.r_[0, np.stack([full, full + 1], axis=1)[::-1].ravel()]
+    at = np.r_[-1, np.stack([rows, rows - 1], axis=1)[::-1].ravel()]
+    # Of equal bounds the last one holds; bounds below 0 or from the capacity on hold for no block.
+    keep = np.r_[least[1:] > least[:-1], True] & (least < capacity)
+    first = max(0, int(np.searchsorted(least, 0, "right")) - 1)
+    keep[:first] = False
+    least, at = np.maximum(least[keep], 0), at[keep]
+    states = np.array([OPEN if p < 0 else state[p] for p in at.tolist()], np.int64)
+    new = np.r_[True, states[1:] != states[:-1]] if len(states) else np.zeros(0, bool)
+    return least[new].tolist(), states[new].tolist()
+
+
 def capacity_blocks(nnz: DataFrame, m: int, capacity: int, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """(block, start_row, end_row): consecutive rows packed greedily up to `capacity` entries; an oversize row is a block
     of its own, and the last row goes into the last block whatever it has.
 
     nnz: (row, nnz) of all rows 0 to m - 1. A boundary depends on the one before it, and all that a run of rows needs from
-    its left is whether a block is open and with how many entries. The first pass gives each run's state at its end for
-    every state at its start (capacity + 1 numbers), the driver chains those of the runs, and the second pass gives each
-    run's boundaries.
+    its left is whether a block is open and with how many entries. The first pass gives each run's state at its end by intervals of
+    the state at its start, two for each of its rows at most whatever the capacity; the driver chains those of the runs, which
+    come in order and one at a time, and the second pass gives each run's boundaries.
     """
     if capacity < 1:
         raise ValueError("the capacity must be positive")
@@ -131,16 +165,18 @@ def capacity_blocks(nnz: DataFrame, m: int, capacity: int, chunk_rows: int = CHU
 
     def exits(pdf: pd.DataFrame) -> pd.DataFrame:
         sums, _, state = _walk(pdf.sort_values("row")["nnz"].to_numpy(), capacity)
-        out = []
-        for entry in range(-1, capacity):
-            p = _enter(sums, entry, capacity)
-            out.append(state[p] if p >= 0 else entry + int(sums[-1]))
-        return pd.DataFrame({"chunk": [pdf["chunk"].iloc[0]], "exits": [out]})
+        least, states = _exits(sums, state, capacity)
+        return pd.DataFrame({"chunk": [pdf["chunk"].iloc[0]], "closed": [state[0]], "total": [int(sums[-1])], "least": [least], "states": [states]})
 
     state, entry = -1, {}
-    for chunk, found in sorted((r["chunk"], r["exits"]) for r in counted.groupBy("chunk").applyInPandas(exits, "chunk long, exits array<long>").toLocalIterator()):
-        entry[chunk] = state
-        state = found[state + 1]
+    found = counted.groupBy("chunk").applyInPandas(exits, "chunk long, closed long, total long, least array<long>, states array<long>")
+    for r in found.orderBy("chunk").toLocalIterator():
+        entry[r["chunk"]] = state
+        if state < 0:
+            state = r["closed"]
+        else:
+            after = r["states"][bisect.bisect_right(r["least"], state) - 1]
+            state = state + r["total"] if after == OPEN else after
 
     def bounds(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("row")

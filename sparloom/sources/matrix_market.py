@@ -5,6 +5,8 @@ A path may be a file or a folder of part files, whose names give their order; th
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,6 +99,8 @@ def read_mm(spark: SparkSession, path: str, dtype: str = "double") -> tuple[Data
     check_supported(meta)
     if not is_valid_typecode(meta):
         raise MatrixFormatError(f"invalid typecode {meta.typecode()}")
+    if meta.symmetry in ("skew-symmetric", "hermitian"):
+        warnings.warn(f"{meta.typecode()}: the stored half is read as it stands, the other half isn't made", stacklevel=2)
     symmetric, pattern, kind = meta.symmetry == "symmetric", meta.field == "pattern", "float" if dtype == "float" else "double"
     # How many entries a stored one makes: none for a zero, two off the diagonal of a symmetric matrix. Lines that aren't
     # entries raise when they are read below.

@@ -2,41 +2,20 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparloom.functions.numbers import number, printf
 from sparloom.meta import MatrixFormatError
 from sparloom.operators.layouts import to_slots
-
-
-def scratch(spark: SparkSession) -> str:
-    """A new folder where driver and executors can both write: under the shared checkpoint folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        import tempfile
-
-        base = tempfile.gettempdir()
-    return f"{base.rstrip('/')}/matrix-{uuid.uuid4().hex}"
+from sparloom.shared import scratch as scratch
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(value, file long, block long, line long): text lines; the last three, in this order, sort them as the files have
-    them. Line numbers only grow inside a split, which is all that the order needs."""
-    text = spark.read.text(path)
-    files = sorted(text.inputFiles())
-    rank = F.create_map(*[x for i, f in enumerate(files) for x in (F.lit(_name(f)), F.lit(i).cast("long"))]) if files else F.create_map()
-    name = F.regexp_extract(F.col("_metadata.file_path"), r"[^/]+$", 0)
-    found = text.select("value", name.alias("_name"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
-    return found.select("value", F.element_at(rank, F.col("_name")).alias("file") if len(files) > 1 else F.lit(0).cast("long").alias("file"), "block", "line")
-
-
-def _name(path: str) -> str:
-    return path.rsplit("/", 1)[-1]
+    """(value, file string, block long, line long): text lines; the last three, in this order, sort them as the files, by their
+    paths, have them. Line numbers only grow inside a split, which is all that the order needs."""
+    meta = F.col("_metadata")
+    return spark.read.text(path).select("value", meta["file_path"].alias("file"), meta["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("line"))
 
 
 def tokens() -> Column:
