@@ -60,7 +60,8 @@ def grams(text: str) -> set[str]:
         for n in GRAMS:
             for i in range(len(w) - n + 1):
                 counts[w[i : i + n]] += times
-    return counts.keys() | {g + MARK for g, times in counts.items() if dense(times, words.total())}
+    n_words = words.total()
+    return counts.keys() | {g + MARK for g, times in counts.items() if dense(times, n_words)}
 
 
 def dense(times: int, words: int) -> bool:
