@@ -26,6 +26,8 @@ from pyspark.sql import types as T
 
 from .common import binary, checkpoint, map_arrow, sample_texts, slices
 
+#: Tasks that count the samples' n-grams.
+SPREAD = 48
 POSITIVES = 3_000
 UNLABELLED = 9_000
 VOCABULARY = 768
@@ -150,7 +152,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     # The ids are bounded, so that only the texts of confirmed documents move.
     chosen = F.broadcast(told.where("label = 1").select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(2 * positives))
     sampled = sample_texts(every.join(chosen, "id", "left_semi").select("text"), positives).withColumn("p", F.lit(1))
-    sampled = checkpoint(sampled.unionByName(sample_texts(every.select("text"), unlabelled).withColumn("p", F.lit(0))).select("p", "text"))
+    sampled = sampled.unionByName(sample_texts(every.select("text"), unlabelled).withColumn("p", F.lit(0))).select("p", "text")
+    sampled = checkpoint(sampled.repartition(SPREAD))  # a limit leaves one partition
     n_p, n_u = (sampled.where(F.col("p") == x).count() for x in (1, 0))
     if not n_p or not n_u:
         return flat
