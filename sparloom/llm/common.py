@@ -43,9 +43,14 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder, so that later steps read only the columns that they use."""
+    return written_at(df)[0]
+
+
+def written_at(df: DataFrame) -> tuple[DataFrame, str]:
+    """The same with the table's folder, which discard() deletes once nothing reads it any more."""
     path = f"{shared_folder(df.sparkSession)}/written-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
 def sample_texts(texts: DataFrame, most: int, by: list[str] | None = None) -> DataFrame:

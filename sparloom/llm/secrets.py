@@ -6,7 +6,7 @@ change by the one that enters and the one that leaves; where the window's entrop
 run is a span of kind `entropy_b64` or `entropy_hex`. Runs that hold an allow-listed string or overlap a span of the three
 patterns are left out, or with `parts` only what is allow-listed or in such a span; spans of the three patterns are never left out.
 
-A null text counts as empty: no spans. Offsets are code points, ends exclusive. Texts may have any length; everything is
+A null text counts as empty: no spans. Repeated rows have equal spans; an empty table gives no rows. Offsets are code points, ends exclusive. Texts may have any length; everything is
 per row, without a shuffle.
 """
 
@@ -35,13 +35,18 @@ CLASSES = {
 ALLOW = ("example", "placeholder", "changeme", "dummy", "sample", "xxxxxxxx", "00000000", "0123456789", "abcdefgh")
 
 
+#: Matches that are numbered together, so that many in one text don't copy each other over and over.
+RUN = 256
+
+
 def matches(text: Column, found: Column, pattern: str) -> Column:
     """array<struct<start, end, found>> of the leftmost non-overlapping matches `found`, in order.
 
-    The texts between matches give the offsets: a match starts after all pieces and matches before it.
+    The texts between matches give the offsets: a match starts after all pieces and matches before it. Runs of RUN matches are
+    placed by themselves, and then moved by what the runs before them take.
     """
-    empty = F.array().cast("array<struct<start:bigint,end:bigint,found:string>>")
-    first = F.struct(F.lit(0).cast("long").alias("at"), empty.alias("out"))
+    spans = "array<struct<start:bigint,end:bigint,found:string>>"
+    first = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(spans).alias("out"))
 
     def step(state: Column, pair: Column) -> Column:
         start = state["at"] + F.length(pair["piece"])
@@ -49,8 +54,17 @@ def matches(text: Column, found: Column, pattern: str) -> Column:
         new = F.struct(start.alias("start"), end.alias("end"), pair["found"].alias("found"))
         return F.struct(end.alias("at"), F.concat(state["out"], F.array(new)).alias("out"))
 
+    def move(state: Column, run: Column) -> Column:
+        moved = F.transform(run["out"], lambda x: F.struct((x["start"] + state["at"]).alias("start"), (x["end"] + state["at"]).alias("end"), x["found"].alias("found")))
+        return F.struct((state["at"] + run["at"]).alias("at"), F.concat(state["out"], F.array(moved)).alias("out"))
+
+    def placed(pairs: Column) -> Column:
+        firsts = F.sequence(F.lit(1), F.greatest(F.size(pairs), F.lit(1)), F.lit(RUN))
+        runs = F.transform(firsts, lambda i: F.aggregate(F.slice(pairs, i, F.lit(RUN)), first, step))
+        return F.aggregate(runs, F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{spans}>").alias("out")), move, lambda s: F.flatten(s["out"]))
+
     pairs = F.arrays_zip(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)).alias("piece"), found.alias("found"))
-    return F.aggregate(pairs, first, step, lambda s: s["out"])
+    return F.transform(F.array(pairs), placed)[0]  # bound once, however many runs read it
 
 
 def weight(n: int) -> int:

@@ -4,6 +4,7 @@ import random
 import string
 
 import corpus_pipeline
+from sparloom.llm import secrets
 
 CHARS = string.ascii_letters + string.digits
 
@@ -30,3 +31,11 @@ def test_pipeline_masks_what_patterns_and_allowed_strings_leave(spark):
         if want:
             assert got[doc] == want
     assert far not in got[4] and tail not in got[4] and got[7] is None
+
+
+def test_very_many_matches_in_one_text(spark):
+    rng = random.Random(3)
+    text = " é ".join(f"AKIA{rng.randrange(10**16):016d}" for _ in range(3_000))
+    found = secrets.find_secrets(spark.createDataFrame([(text,), ("",)], "text string")).select("secrets").collect()
+    spans = max((r.secrets for r in found), key=len)
+    assert [(s.start, s.end) for s in spans] == [(23 * i, 23 * i + 20) for i in range(3_000)]
