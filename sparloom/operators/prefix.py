@@ -11,7 +11,11 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparloom.shared import checkpoint
+
 LEAST_WIDTH = 1024
+#: Rows of a broadcast table of counts at most; a row has a key, a number of a range and two counts.
+COUNTS = 100_000
 
 
 def bucket_width(keys: int) -> int:
@@ -47,3 +51,25 @@ def hack_offsets(directory: DataFrame, hacks: int) -> DataFrame:
     sized = directory.select("hack", (F.col("n_rows") * F.col("maxnz")).alias("size"))
     padded = sized.union(directory.sparkSession.range(hacks, hacks + 1).select("id", F.lit(0).cast("long")))
     return prefix_sum(padded, "hack", "size", "hack_offset", bucket_width(hacks)).select("hack", "hack_offset")
+
+
+def places(df: DataFrame, keys: list[str], order: list[str], out: str, total: str | None = None, partitions: int | None = None) -> DataFrame:
+    """df with `out` long: a row's place, from 0, among the rows of its keys by `order`; and `total`: how many these are.
+
+    Numbering has two levels, so that one key may have any share of the rows. Rows are dealt by ranges of keys and order, equal in
+    number whatever the keys, and sorted inside; Spark numbers a range's rows one after another. A range holds a key's rows
+    in one stretch: a count for each key and range gives where the stretch begins in the range and, by a running sum over the
+    key's ranges, in the key. There is no window over the rows of a key, and the counts are keys and ranges in number at most.
+    Rows with equal keys and order are numbered in any order; keys must not be null. No keys: places in the whole table.
+    """
+    by = [*keys, *order]
+    dealt = df.repartitionByRange(partitions, *by) if partitions else df.repartitionByRange(*by)
+    rows = checkpoint(dealt.sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33).alias("_range")
+    counts = rows.groupBy(*keys, part).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    inside = Window.partitionBy(*keys)
+    before = F.coalesce(F.sum("_rows").over(inside.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = checkpoint(counts.select(*keys, "_range", (before - F.col("_first")).alias("_by"), F.sum("_rows").over(inside).alias("_all")))
+    starts = F.broadcast(starts) if starts.count() <= COUNTS else starts
+    found = rows.withColumn("_range", part).join(starts, [*keys, "_range"]).withColumn(out, F.col("_at") + F.col("_by"))
+    return found.select(*df.columns, out, *([F.col("_all").alias(total)] if total else []))

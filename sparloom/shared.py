@@ -4,7 +4,16 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the shared checkpoint folder: a lost executor costs nothing, and row numbers stay. Spark
+    deletes the files with the last plan that reads them, where spark.cleaner.referenceTracking.cleanCheckpoints is set."""
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(scratch(df.sparkSession))
+    return df.checkpoint(eager=True)
 
 
 def scratch(spark: SparkSession) -> str:
