@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, htmltext, langid, media, packing, secrets, sharding, simhash, toxicity
+from . import chat, decontam, htmltext, langid, media, merkle, packing, runs, secrets, sharding, simhash, topk, toxicity
 from .common import read_table
 
 SHARDS = 24
@@ -79,6 +79,45 @@ def op10_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slots.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = runs.find_runs(_made_periodic(docs), keep=["doc_id"]).withColumn("top", runs.longest(F.col("runs")))
+    digest = lambda c: F.sha2(F.coalesce(c, F.lit("")), 256)
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *[F.col("top")[c].alias(c) for c in ("start", "length", "period")],
+        F.expr("1000 * top.length div top.period").alias("exponent_milli"),
+        digest(runs.listed(F.col("runs"))).alias("runs_sha256"),
+        digest(F.col("collapsed")).alias("collapsed_sha256"),
+    )
+
+
+def op12_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    values = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    spoilt = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, F.translate("text", "\n", "")).otherwise(F.col("text"))
+    leaves = docs.select("doc_id", "source", merkle.leaf([*values, F.col("text")]).alias("leaf"), merkle.leaf([*values, spoilt]).alias("tampered"))
+    proven = merkle.manifest(leaves, keep=["doc_id", "leaf", "tampered"])
+    folded = proven.withColumn("folded_root", merkle.fold(F.col("tampered"), F.col("lefts"), F.col("rights")))
+    return folded.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("lefts"), F.col("rights")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def _made_periodic(docs: DataFrame) -> DataFrame:
+    """docs, where in every tenth one by a hash of doc_id the words from some place on repeat with some period."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    cut = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), F.when(h % 10 == 0, runs.words(F.col("text"))).alias("w"))
+    cut = cut.withColumn("n", F.size("w")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int"))
+    cut = cut.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    head, again = F.slice("w", F.lit(1), F.col("a")), F.array_repeat(F.slice("w", F.col("a") + 1, F.col("p")), F.ceil((F.col("n") - F.col("a")) / F.col("p")).cast("int"))
+    changed = F.array_join(F.concat(head, F.slice(F.flatten(again), F.lit(1), F.col("n") - F.col("a"))), " ")
+    return cut.select("doc_id", F.when(F.col("n") > 0, changed).otherwise(F.col("text")).alias("text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 

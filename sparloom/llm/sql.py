@@ -80,4 +80,85 @@ FROM documents d LEFT JOIN joined USING (doc_id)
 """
 
 
-ORACLE = {"op3_chat_format": OP3, "op2_decontaminate": OP2, "op9_secret_scan": _op9()}
+def _crc32(digits: str) -> str:
+    """CRC-32 of ASCII text, a bit at a time."""
+    step = "lambda d, z: xor(d >> 1, CAST(3988292384 AS BIGINT) * (d & 1))"
+    byte = f"lambda c, b: list_reduce(list_prepend(xor(c, b), [CAST(0 AS BIGINT) FOR z IN range(8)]), {step})"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split({digits}, ''), lambda x: CAST(ascii(x) AS BIGINT))), {byte}), 4294967295)"
+
+
+#: Words six in a row that come again in the text at a distance of q, and stretches of such places: 12 words of a run, or two
+#: periods, have six that do. Of equal stretches the least q counts.
+OP11 = rf"""
+WITH cut AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w0, {_crc32("CAST(doc_id AS VARCHAR)")} AS h FROM documents),
+placed AS (SELECT *, len(w0) AS n, h // 10 AS g, h % 10 = 0 AND len(w0) > 0 AS changes FROM cut),
+periods AS (SELECT *, CASE WHEN changes THEN g % n END AS a FROM placed),
+doc AS (SELECT doc_id, n, CASE WHEN changes THEN list_transform(range(0, n), lambda i: w0[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END]) ELSE w0 END AS w FROM periods),
+six AS (SELECT doc_id, i, array_to_string(w[i + 1:i + 6], ' ') AS s FROM doc, unnest(range(0, n - 5)) AS r(i)),
+again AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM six x JOIN six y ON x.doc_id = y.doc_id AND x.s = y.s AND x.i < y.i),
+island AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM again),
+stretch AS (SELECT doc_id, q, min(i) AS start, count(*) + 5 + q AS length FROM island GROUP BY doc_id, q, k),
+run AS (SELECT doc_id, start, length, min(q) AS period FROM stretch WHERE length >= greatest(12, 2 * q) GROUP BY doc_id, start, length),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM run),
+kept AS (
+  SELECT doc_id, string_agg(w[i + 1], ' ' ORDER BY i) AS t
+  FROM (SELECT doc_id, w, unnest(range(0, n)) AS i FROM doc WHERE n > 0) d ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id),
+best AS (
+  SELECT doc_id, count(*) AS n_runs, arg_min(struct_pack(start, length, period), (-length, start, period)) AS top,
+    string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS runs
+  FROM run GROUP BY doc_id)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, top.start AS start, top.length AS length, top.period AS period, 1000 * top.length // top.period AS exponent_milli,
+  sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(t, '')) AS collapsed_sha256
+FROM doc LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
+OP12 = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, least(len(q.e), len(c.e)) + 1), lambda i: q.e[i] * c.e[i])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
+
+_FIELDS = "||".join(f"coalesce(strlen({c}) || ':' || {c}, '-')" for c in ("CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)"))
+_LEAF = f"sha256({_FIELDS} || coalesce(strlen({{0}}) || ':' || {{0}}, '-'))"
+
+#: Sources' trees level by level, then the tree of their roots; a leaf's way up is the way of its place.
+OP13 = rf"""
+WITH RECURSIVE doc AS (
+  SELECT doc_id, coalesce('=' || source, '') AS tree, {_LEAF.format("text")} AS leaf,
+    CASE WHEN {_crc32("CAST(doc_id AS VARCHAR)")} % 2 = 0 THEN {_LEAF.format("replace(text, chr(10), '')")} ELSE {_LEAF.format("text")} END AS tampered FROM documents),
+leaf AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, count(*) OVER (PARTITION BY tree) AS n FROM doc),
+low AS (
+  SELECT 0 AS level, tree, place, n, leaf AS node FROM leaf
+  UNION ALL SELECT level + 1, tree, place // 3, (n + 2) // 3, sha256(string_agg(node, '' ORDER BY place)) FROM low WHERE n > 1 GROUP BY level, tree, place // 3, n),
+subroot AS (SELECT tree, node, level AS height, row_number() OVER (ORDER BY tree) - 1 AS place, count(*) OVER () AS n FROM low WHERE n = 1),
+high AS (
+  SELECT 0 AS level, place, n, node FROM subroot
+  UNION ALL SELECT level + 1, place // 3, (n + 2) // 3, sha256(string_agg(node, '' ORDER BY place)) FROM high WHERE n > 1 GROUP BY level, place // 3, n),
+beside AS (
+  SELECT w.doc_id, w.leaf, w.level AS step, string_agg(x.node, '' ORDER BY x.place) FILTER (x.place < w.at) AS lft, string_agg(x.node, '' ORDER BY x.place) FILTER (x.place > w.at) AS rgt
+  FROM (SELECT l.doc_id, l.leaf, l.tree, h.level, l.place // CAST(pow(3, h.level) AS BIGINT) AS at FROM leaf l JOIN subroot s USING (tree), unnest(range(0, s.height)) AS h(level)) w
+  JOIN low x ON x.tree = w.tree AND x.level = w.level AND x.place // 3 = w.at // 3 GROUP BY w.doc_id, w.leaf, w.level
+  UNION ALL
+  SELECT w.doc_id, w.leaf, w.height + w.level, string_agg(x.node, '' ORDER BY x.place) FILTER (x.place < w.at), string_agg(x.node, '' ORDER BY x.place) FILTER (x.place > w.at)
+  FROM (SELECT l.doc_id, l.leaf, s.height, h.level, s.place // CAST(pow(3, h.level) AS BIGINT) AS at FROM leaf l JOIN subroot s USING (tree), unnest(range(0, (SELECT max(level) FROM high))) AS h(level)) w
+  JOIN high x ON x.level = w.level AND x.place // 3 = w.at // 3 GROUP BY w.doc_id, w.leaf, w.height, w.level),
+proof AS (SELECT doc_id, leaf, list(coalesce(lft, '') ORDER BY step) AS ls, list(coalesce(rgt, '') ORDER BY step) AS rs FROM beside GROUP BY doc_id, leaf),
+root AS (SELECT node AS root FROM high WHERE n = 1),
+joined AS (
+  SELECT l.doc_id, l.leaf, s.node AS subroot, root, coalesce(ls, []) AS ls, coalesce(rs, []) AS rs, l.tampered
+  FROM leaf l JOIN subroot s USING (tree) CROSS JOIN root LEFT JOIN proof p ON p.doc_id = l.doc_id AND p.leaf = l.leaf),
+folded AS (SELECT *, list_reduce(list_prepend(tampered, range(1, len(ls) + 1)::VARCHAR[]), lambda acc, i: sha256(ls[CAST(i AS BIGINT)] || acc || rs[CAST(i AS BIGINT)])) AS folded_root FROM joined)
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(range(1, len(ls) + 1), lambda i: ls[i] || rs[i]), '')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM folded
+"""
+
+
+ORACLE = {"op13_merkle_manifest": OP13, "op12_exact_top_k": OP12, "op11_periodic_runs": OP11, "op3_chat_format": OP3, "op2_decontaminate": OP2, "op9_secret_scan": _op9()}
