@@ -15,6 +15,8 @@ from sparloom.sources import generate, matrix_market, text
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 PARTS = 8
 CAPACITY = 200
+#: Entries of a segment, and rows of a hack, for the long rows of suppliers.
+CUT, CUT_HACK = 128, 8
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -200,6 +202,32 @@ def hll_slots(spark: SparkSession, d: str) -> DataFrame:
     return _slots(rows)
 
 
+def _suppliers(spark: SparkSession, d: str) -> tuple[DataFrame, int, int]:
+    return B.supplier_part(spark, d), B.count(spark, d, "supplier"), B.count(spark, d, "part")
+
+
+@query
+def csr_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Long rows, by segments that are shorter than they are."""
+    coo, m, _ = _suppliers(spark, d)
+    csr = layouts.to_csr(coo, m, CUT)
+    flat = csr.select("row", "irp", "nnz", "first_slot", F.posexplode_outer(F.arrays_zip("ja", "vals")).alias("at", "_e"))
+    return flat.select("row", "irp", "nnz", (F.col("first_slot") + F.col("at")).alias("slot"), F.col("_e.ja").alias("col"), _long("_e.vals").alias("val"))
+
+
+@query
+def hll_segments(spark: SparkSession, d: str) -> DataFrame:
+    coo, m, _ = _suppliers(spark, d)
+    rows, _ = layouts.to_hll(coo, m, CUT_HACK, CUT)
+    return _slots(rows)
+
+
+@query
+def spmm_segments_k4(spark: SparkSession, d: str) -> DataFrame:
+    coo, m, n = _suppliers(spark, d)
+    return _cells(product.spmm_layout(layouts.segment_rows(coo, m, CUT), B.part_vectors(spark, d, 4), m, 4, n))
+
+
 @query
 def layout_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     rows, _ = layouts.to_hll(B.order_part(spark, d), _sizes(spark, d)[0])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparloom.jobs.queries import CAPACITY, PARTS
+from sparloom.jobs.queries import CAPACITY, CUT_HACK, PARTS
 from sparloom.sources.generate import BY_COLUMN, BY_ROW, BY_SEED, PRIME, STIR
 
 _LINE = 'SELECT CAST({row} AS BIGINT) AS "row", CAST({col} AS BIGINT) AS col, CAST({val} AS BIGINT) AS val FROM {table}'
@@ -65,6 +65,8 @@ FROM starts, lim WHERE s < m"""
 
 
 _S = "(SELECT count(*) FROM supplier)"
+_LONG = {"a3": A["a3"], "slotted": 'SELECT "row", row_number() OVER (PARTITION BY "row" ORDER BY col, val) - 1 AS slot, col, val FROM a3', "cnt": _CNT.format(m=_S, a="SELECT * FROM a3"), "cum": _CUM}
+_WIDE = f'SELECT "row", unnest(range((SELECT max(nnz) FROM cnt d WHERE d."row" // {CUT_HACK} = c."row" // {CUT_HACK}))) AS s FROM cnt c'
 _MIRROR = 'SELECT "row", col, val FROM a4 UNION ALL SELECT col, "row", val FROM a4 WHERE "row" <> col'
 _ENTRY = _with(a1=A["a1"]) + 'SELECT "row", col, val FROM a1'
 _DROPPED = _with(a2=A["a2"]) + 'SELECT "row", col, val FROM a2 WHERE val <> 0'
@@ -99,6 +101,9 @@ ORACLE = {
     "ell_array_slots": ELL,
     "ell_dump_roundtrip": ELL,
     "hll_slots": _with(**_LAYOUT) + _PADDED.format(rows="(SELECT cnt.*, unnest(range(dir.maxnz)) AS s FROM cnt, hk, dir WHERE dir.hack = cnt.\"row\" // rows_per)", width="(SELECT 1) one"),
+    "csr_segments": _with(**_LONG) + 'SELECT "row", cum AS irp, nnz, slot, col, val FROM cum LEFT JOIN slotted USING ("row")',
+    "hll_segments": _with(**_LONG) + _PADDED.format(rows=f"({_WIDE})", width="(SELECT 1) one"),
+    "spmm_segments_k4": _product(A["a3"], X.format(k=4), _S, 4),
     "hack_offsets": _with(**_LAYOUT) + "SELECT hack, hack_offset FROM dir UNION ALL SELECT count(*), CAST(sum(n_rows * maxnz) AS BIGINT) FROM dir",
     "hack_directory": _with(**_LAYOUT) + "SELECT * FROM dir",
     "balanced_ranges": _with(**_PART) + "SELECT * FROM loaded",

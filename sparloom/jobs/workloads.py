@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from sparloom.meta import MatrixMeta
 from sparloom.operators.compare import error_norms
 from sparloom.operators.entries import all_row_nnz
-from sparloom.operators.layouts import to_csr, to_ell, to_hll
+from sparloom.operators.layouts import SEGMENT, to_csr, to_ell, to_hll
 from sparloom.operators.product import spmm, spmm_layout
 from sparloom.operators.ranges import balanced_ranges, capacity_blocks, default_capacity, part_loads
 from sparloom.operators.report import flops, footprint
@@ -36,10 +36,10 @@ def run(spark: SparkSession, path: str, k: int, layout: str = "csr", parts: int
     x = random_multivector(spark, meta.n, k, seed) if x is None else x
     sizes = None
     if layout == "hll":
-        rows, directory = to_hll(coo, meta.m)
+        rows, directory = to_hll(coo, meta.m, segment=SEGMENT)
         sizes = footprint(coo, directory, meta.m, meta.n, k)
     elif layout in ("csr", "ell"):
-        rows = to_ell(coo, meta.m) if layout == "ell" else to_csr(coo, meta.m)
+        rows = to_ell(coo, meta.m) if layout == "ell" else to_csr(coo, meta.m, SEGMENT)
     else:
         raise ValueError(f"unknown layout {layout}")
     y = spmm_layout(rows, x, meta.m, k, meta.n)
