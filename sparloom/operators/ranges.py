@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import bisect
+import functools
 
 import numpy as np
 import pandas as pd
@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 from sparloom.functions.numbers import ceil_div, round_up
 from sparloom.operators.prefix import bucket_width
-from sparloom.shared import discard, scratch
+from sparloom.shared import checkpoint, discard, scratch
 
 #: Rows whose counts one task walks through.
 CHUNK_ROWS = 1 << 18
+#: Runs of rows whose maps of states one task composes.
+GROUP = 64
 
 
 class _Counts:
@@ -99,20 +101,21 @@ def default_capacity(nz: int, m: int) -> int:
     return min(round_up(max(ceil_div(nz, max(m, 1)), 1), 32), 1024)
 
 
-def _walk(each: np.ndarray, capacity: int) -> tuple[np.ndarray, list[int], list[int]]:
+def _walk(each: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For a run of rows' counts: running sums; for each row as the first of a block where that block ends (beyond the
-    run: -1); and for each row as a first the state at the run's end (-1: a block just ended, else the open one's entries)."""
+    run: -1); and for each row as a first, and the run's end, the state at the run's end (-1: a block just ended, else the open
+    one's entries)."""
     n = len(each)
     sums = np.r_[0, np.cumsum(each)]
     # With `capacity` a positive number, the block from p reaches it at the first i > p.
     reach = np.searchsorted(sums, sums[:-1] + capacity, "left")
     over = (reach <= n) & (sums[np.minimum(reach, n)] - sums[:-1] > capacity) & (reach - np.arange(n) > 1)
-    ends = np.where(reach > n, -1, reach - over).tolist()
-    total, state = int(sums[-1]), [-1] * (n + 1)
-    before = sums.tolist()
-    for p in range(n - 1, -1, -1):
-        state[p] = state[ends[p]] if ends[p] >= 0 else total - before[p]
-    return sums, ends, state
+    ends = np.where(reach > n, -1, reach - over)
+    # The last block that begins in the run, by doubling the blocks that are passed over.
+    last = np.r_[np.where(ends < 0, np.arange(n), ends), n]
+    while not np.array_equal(further := last[last], last):
+        last = further
+    return sums, ends, np.where(last == n, -1, sums[-1] - sums[last])
 
 
 def _enter(sums: np.ndarray, entry: int, capacity: int) -> int:
@@ -129,7 +132,12 @@ def _enter(sums: np.ndarray, entry: int, capacity: int) -> int:
 OPEN = -2
 
 
-def _exits(sums: np.ndarray, state: list[int], capacity: int) -> tuple[list[int], list[int]]:
+#: A run's map of states: the state after a block that just ended, the run's entries, and for blocks with c entries before the run, by the
+#: least c of each interval, the state after it; OPEN: c and the run's entries.
+Map = tuple[int, int, np.ndarray, np.ndarray]
+
+
+def _exits(sums: np.ndarray, state: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     """Intervals of a block's entries before the run, by their least ones from 0 up, and the state at the run's end of each.
 
     An open block of `capacity - sums[i]` entries ends after row i - 1 exactly; one with more, up to what ends it sooner, would
@@ -144,9 +152,73 @@ def _exits(sums: np.ndarray, state: list[int], capacity: int) -> tuple[list[int]
     first = max(0, int(np.searchsorted(least, 0, "right")) - 1)
     keep[:first] = False
     least, at = np.maximum(least[keep], 0), at[keep]
-    states = np.array([OPEN if p < 0 else state[p] for p in at.tolist()], np.int64)
+    return _merged(least, np.where(at < 0, OPEN, state[at]))
+
+
+def _merged(least: np.ndarray, states: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     new = np.r_[True, states[1:] != states[:-1]] if len(states) else np.zeros(0, bool)
-    return least[new].tolist(), states[new].tolist()
+    return least[new], states[new]
+
+
+def _after(states: np.ndarray, of: Map) -> np.ndarray:
+    """States at the end of a run by those at its start."""
+    closed, total, least, found = of
+    at = np.maximum(np.searchsorted(least, states, "right") - 1, 0)
+    passed = np.where(found[at] == OPEN, states + total, found[at])
+    return np.where(states < 0, closed, passed)
+
+
+def _compose(one: Map, two: Map) -> Map:
+    """The map of two runs, one after the other. It has as many intervals as both at most, and no more than the capacity."""
+    closed, total, least, states = one
+    # Where the first run leaves a block open, the second one's bounds, less what the first adds, cut its interval.
+    ends = np.r_[least[1:], np.iinfo(np.int64).max]
+    still = states == OPEN
+    cuts = [two[2][(two[2] > lo + total) & (two[2] < hi)] - total for lo, hi in zip(least[still], np.where(ends[still] > np.iinfo(np.int64).max - total, ends[still], ends[still] + total))]
+    bounds = np.unique(np.concatenate([least, *cuts]))
+    before = states[np.searchsorted(least, bounds, "right") - 1]
+    entered = np.where(before == OPEN, bounds + total, before)
+    after = _after(entered, two)
+    stays = (before == OPEN) & (two[3][np.maximum(np.searchsorted(two[2], entered, "right") - 1, 0)] == OPEN)
+    return int(_after(np.array([closed]), two)[0]), total + two[1], *_merged(bounds, np.where(stays, OPEN, after))
+
+
+_MAPS = "at long, closed long, total long, least array<long>, states array<long>"
+
+
+def _rows_of(maps: pd.DataFrame) -> list[Map]:
+    return [(int(r.closed), int(r.total), np.asarray(r.least, np.int64), np.asarray(r.states, np.int64)) for r in maps.itertuples()]
+
+
+def _states(maps: DataFrame, runs: int) -> DataFrame:
+    """(at, state): the state in which each run is entered, from the runs' maps: an associative scan.
+
+    GROUP runs' maps are composed into one, theirs again, until one group is left; on the way back each group's first state goes
+    through its runs. So no task and not the driver sees more than GROUP runs, and there are log(runs) steps.
+    """
+    spark = maps.sparkSession
+    group = F.expr(f"at div {GROUP}")
+
+    def join(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = _rows_of(pdf.sort_values("at"))
+        closed, total, least, states = functools.reduce(_compose, found)
+        return pd.DataFrame({"at": [int(pdf["at"].iloc[0]) // GROUP], "closed": [closed], "total": [total], "least": [least], "states": [states]})
+
+    def walk(pdf: pd.DataFrame, entered: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("at")
+        states = [int(entered["state"].iloc[0])]
+        for m in _rows_of(pdf)[:-1]:
+            states.append(int(_after(np.array([states[-1]]), m)[0]))
+        return pd.DataFrame({"at": pdf["at"], "state": states})
+
+    levels = [maps]
+    while runs > GROUP:
+        levels.append(checkpoint(levels[-1].groupBy(group).applyInPandas(join, _MAPS)))
+        runs = ceil_div(runs, GROUP)
+    found = spark.range(1).select(F.col("id").alias("at"), F.lit(-1).cast("long").alias("state"))
+    for level in reversed(levels):
+        found = level.groupBy(group.alias("_g")).cogroup(found.groupBy(F.col("at").alias("_g"))).applyInPandas(walk, "at long, state long")
+    return found
 
 
 def capacity_blocks(nnz: DataFrame, m: int, capacity: int, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
@@ -154,35 +226,29 @@ def capacity_blocks(nnz: DataFrame, m: int, capacity: int, chunk_rows: int = CHU
     of its own, and the last row goes into the last block whatever it has.
 
     nnz: (row, nnz) of all rows 0 to m - 1. A boundary depends on the one before it, and all that a run of rows needs from
-    its left is whether a block is open and with how many entries. The first pass gives each run's state at its end by intervals of
-    the state at its start, two for each of its rows at most whatever the capacity; the driver chains those of the runs, which
-    come in order and one at a time, and the second pass gives each run's boundaries.
+    its left is whether a block is open and with how many entries. The counts are written once, by runs. The first pass gives each
+    run's map from the state at its start to that at its end, by intervals, two for each of its rows at most whatever the capacity;
+    maps are composed by groups (see _states), and the second pass gives each run's boundaries. The driver sees neither.
     """
     if capacity < 1:
         raise ValueError("the capacity must be positive")
     spark = nnz.sparkSession
+    runs = ceil_div(max(m - 1, 0), chunk_rows)
     counted = nnz.where(F.col("row") < m - 1).select(F.floor(F.col("row") / chunk_rows).cast("long").alias("chunk"), "row", F.col("nnz").cast("long").alias("nnz"))
+    counted = checkpoint(counted.repartition(max(1, min(runs, int(spark.conf.get("spark.sql.shuffle.partitions")))), "chunk"))
 
     def exits(pdf: pd.DataFrame) -> pd.DataFrame:
         sums, _, state = _walk(pdf.sort_values("row")["nnz"].to_numpy(), capacity)
         least, states = _exits(sums, state, capacity)
-        return pd.DataFrame({"chunk": [pdf["chunk"].iloc[0]], "closed": [state[0]], "total": [int(sums[-1])], "least": [least], "states": [states]})
-
-    state, entry = -1, {}
-    found = counted.groupBy("chunk").applyInPandas(exits, "chunk long, closed long, total long, least array<long>, states array<long>")
-    for r in found.orderBy("chunk").toLocalIterator():
-        entry[r["chunk"]] = state
-        if state < 0:
-            state = r["closed"]
-        else:
-            after = r["states"][bisect.bisect_right(r["least"], state) - 1]
-            state = state + r["total"] if after == OPEN else after
-
-    def bounds(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"at": [pdf["chunk"].iloc[0]], "closed": [int(state[0])], "total": [int(sums[-1])], "least": [least], "states": [states]})
+
+    def bounds(pdf: pd.DataFrame, entered: pd.DataFrame) -> pd.DataFrame:
+        if not len(pdf):
+            return pd.DataFrame({"start_row": []}, dtype="int64")
         pdf = pdf.sort_values("row")
-        chunk, first = int(pdf["chunk"].iloc[0]), int(pdf["row"].iloc[0])
+        first, came = int(pdf["row"].iloc[0]), int(entered["state"].iloc[0])
         sums, ends, _ = _walk(pdf["nnz"].to_numpy(), capacity)
-        out, came = [], entry[chunk]
+        out, ends = [], ends.tolist()
         p = _enter(sums, came, capacity)
         if came >= 0 and p >= 0:
             out.append(first + p)
@@ -192,8 +258,12 @@ def capacity_blocks(nnz: DataFrame, m: int, capacity: int, chunk_rows: int = CHU
                 out.append(first + p)
         return pd.DataFrame({"start_row": out}, dtype="int64")
 
-    starts = counted.groupBy("chunk").applyInPandas(bounds, "start_row long").union(spark.range(min(m, 1))).distinct()
-    return consecutive(starts, m)
+    if runs > 1:
+        states = _states(checkpoint(counted.groupBy("chunk").applyInPandas(exits, _MAPS)), runs)
+    else:
+        states = spark.range(1).select(F.col("id").alias("at"), F.lit(-1).cast("long").alias("state"))
+    found = counted.groupBy("chunk").cogroup(states.groupBy(F.col("at").alias("chunk"))).applyInPandas(bounds, "start_row long")
+    return consecutive(found.union(spark.range(min(m, 1))).distinct(), m)
 
 
 def consecutive(starts: DataFrame, m: int) -> DataFrame:
