@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import binary, map_arrow, written
+from .common import aside, binary, map_arrow, written
 
 WINDOW = 13
 #: Bytes of benchmark text in one automaton, which takes some 150 times as much memory in each Python worker. A larger benchmark is
@@ -176,7 +176,7 @@ def find_benchmark_text(docs: DataFrame, benchmark: DataFrame, text_col: str = "
     The automaton goes to the tasks, and texts are scanned where they are read, without a shuffle. A benchmark over block_bytes
     is dealt over blocks by a hash; docs are then written once with row numbers, each block in turn is collected, scanned for and
     let go, its hits are written, and hits of a row are merged. So driver and tasks hold one block at a time. Columns of
-    docs named like a new one are replaced.
+    docs named like a new one are replaced; any other name is kept, whatever the benchmark's size.
     """
     cut = written(pieces(benchmark, item_col, bench_cols or ["text"], size, piece))
     n = -(-(cut.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes)
@@ -184,6 +184,9 @@ def find_benchmark_text(docs: DataFrame, benchmark: DataFrame, text_col: str = "
         return _scanned(docs, cut.sort("item", "text").collect(), text_col, keep, size)[0]
     new = {f.name for f in FIELDS}
     rest = [c for c in (docs.columns if keep is None else keep) if c not in new]
+    docs, _ = aside(docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*rest, text_col])]), ["_row_number"])
+    names = dict(zip(dict.fromkeys([*rest, text_col]), docs.columns))
+    given, rest, text_col = rest, [names[c] for c in rest], names[text_col]
     rows = written(docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*rest, text_col])]).withColumn("_row_number", F.monotonically_increasing_id()))
     hits = None
     for b in range(n):
@@ -207,7 +210,8 @@ def find_benchmark_text(docs: DataFrame, benchmark: DataFrame, text_col: str = "
 
     schema = T.StructType([T.StructField("_row_number", T.LongType()), *FIELDS])
     joined = hits.groupBy("_row_number").agg(F.first("n_words").alias("n_words"), F.collect_list(F.struct("hit_words", "hit_spans", "items")).alias("parts")).mapInArrow(merged, schema)
-    return rows.select("_row_number", *[F.col(f"`{c}`") for c in rest]).join(joined, "_row_number").drop("_row_number")
+    found = rows.select("_row_number", *[F.col(f"`{c}`") for c in rest]).join(joined, "_row_number")
+    return found.select(*[F.col(f"`{c}`").alias(name) for c, name in zip(rest, given)], *[f.name for f in FIELDS])
 
 
 def n_hit() -> F.Column:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_arrow, sample_texts
+from .common import aside, map_arrow, sample_texts
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -36,6 +36,70 @@ UNKNOWN = "und"
 BLOCK = 128
 
 
+#: Of every so many pieces one isn't counted for the pairs of letters, but measured by them.
+MEASURED = 4
+#: The share of measured pieces that are less likely than the bound, and how many standard errors a short text may lie below it.
+RARE, ERRORS = 0.001, 4.0
+
+
+@dataclass
+class Letters:
+    """How likely pairs of letters' bytes are in the learnt languages, and how likely a text must be at least.
+
+    A softmax only tells learnt languages from each other: whatever it reads, its shares add up to one. This tells text in any of them
+    from other scripts and from random letters.
+    """
+
+    likely: np.ndarray  # (256, 256) natural logarithms
+    bound: float
+    spread: float
+
+    def means(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Mean over each text's pairs of neighbouring letters, and their number. Letters are a to z, lower-cased, and bytes from 128 on."""
+        data = pc.utf8_lower(texts).cast(pa.large_binary())
+        ends = np.frombuffer(data.buffers()[1], np.int64)[data.offset : data.offset + len(data) + 1] if len(data) else np.zeros(1, np.int64)
+        body = np.frombuffer(data.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+        letter = ((body >= 97) & (body <= 122)) | (body >= 128)
+        pair = letter[:-1] & letter[1:]
+        inner = ends[1:-1] - ends[0]
+        pair[inner[(inner > 0) & (inner < len(body))] - 1] = False  # not from one text to the next
+        at = np.flatnonzero(pair)
+        sums = np.r_[0.0, np.cumsum(self.likely[body[at], body[at + 1]], dtype=np.float64)]
+        edge = np.searchsorted(at, ends - ends[0], "left")
+        n = np.diff(edge)
+        return np.diff(sums[edge]) / np.maximum(n, 1), n
+
+    def known(self, texts: pa.Array) -> np.ndarray:
+        """Whether each text is likely enough. A text with few pairs, or none, gets the benefit of the doubt."""
+        mean, n = self.means(texts)
+        return (n == 0) | (mean + ERRORS * self.spread / np.sqrt(np.maximum(n, 1)) >= self.bound)
+
+
+def fit_letters(texts: list[str]) -> Letters:
+    """Counts of pairs over most pieces, each pair once more; the bound is what all but RARE of the others reach, less a tenth of the way from
+    their mean to it."""
+    counts = np.ones((256, 256))
+    for i, text in enumerate(texts):
+        if i % MEASURED:
+            body = np.frombuffer(text.lower().encode(), np.uint8)
+            np.add.at(counts, (body[:-1], body[1:]), 1)
+    letters = np.r_[97:123, 128:256]
+    inside = np.zeros((256, 256))
+    inside[np.ix_(letters, letters)] = counts[np.ix_(letters, letters)]
+    with np.errstate(divide="ignore"):
+        likely = np.log(inside / inside.sum())
+    likely[inside == 0] = 0
+    found = Letters(likely, 0.0, 0.0)
+    measured = texts[::MEASURED]
+    mean, n = found.means(pa.array(measured, pa.string()))
+    full = mean[n >= np.median(n)] if len(n) else np.zeros(1)
+    low = float(np.quantile(full, RARE))
+    weight = inside / inside.sum()
+    found.spread = float(np.sqrt((weight * likely**2).sum() - (weight * likely).sum() ** 2))
+    found.bound = low - 0.1 * (float(full.mean()) - low)
+    return found
+
+
 @dataclass
 class Network:
     languages: list[str]
@@ -44,6 +108,7 @@ class Network:
     bias: np.ndarray
     out: np.ndarray
     out_bias: np.ndarray
+    letters: Letters | None = None
 
     def patches(self, windows: np.ndarray) -> np.ndarray:
         """(windows, places, widest * CODE) of bytes (windows, WINDOW)."""
@@ -162,7 +227,11 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_l
     Repeated rows count once. Raises ValueError where there are more than `languages` languages.
     """
     rows = sample(docs, text_col, lang_col, per_language, pieces, languages)
-    return fit([r["text"] for r in rows], [r["lang"] for r in rows]) if rows else None
+    if not rows:
+        return None
+    network = fit([r["text"] for r in rows], [r["lang"] for r in rows])
+    network.letters = fit_letters([r["text"] for r in rows])
+    return network
 
 
 def identify(docs: DataFrame, network: Network | None, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -189,3 +258,15 @@ def identify(docs: DataFrame, network: Network | None, text_col: str = "text", k
         return {"lang_pred": pa.array([network.languages[b] if ok else UNKNOWN for b, ok in zip(best, lettered)]), "score": pa.array(np.clip(score, 0, 1))}
 
     return map_arrow(docs, add, [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())], text_col, keep)
+
+
+def known_language(docs: DataFrame, network: Network, text_col: str = "text") -> DataFrame:
+    """docs without the texts in no learnt language: other scripts, random letters, and texts without a letter, null ones among
+    them, which are `und`. Whole texts are read; a text with a few letters only stays in doubt. Columns of any name are kept."""
+    moved, back = aside(docs, ["_known"])
+
+    def add(batch: pa.RecordBatch) -> dict:
+        texts = pc.fill_null(batch.column(text_col), "")
+        return {"_known": pa.array(network.letters.known(texts) & pc.match_substring_regex(texts, r"\p{L}").to_numpy(zero_copy_only=False))}
+
+    return back(map_arrow(moved, add, [T.StructField("_known", T.BooleanType())], text_col).where("_known"))

@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import aside
+
 # Fixed values of the scan: patterns and the least length of what counts.
 ASSIGN = r"""(?i)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+"""
 ASSIGN_HEAD = r"""(?i)^(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?"""
@@ -125,13 +127,16 @@ def blanked(text: Column, spans: Column) -> Column:
 def find_secrets(df: DataFrame, text_col: str = "text", parts: bool = False) -> DataFrame:
     """df with `secrets` array<struct<start long, end long, kind string>>, by start, then kind as in KINDS, then end.
 
-    A column of that name is replaced. parts: a run that spans of the three patterns or allow-listed strings touch isn't left
+    A column of that name is replaced; any other name is kept. parts: a run that spans of the three patterns or allow-listed strings touch isn't left
     out; what they leave of it are candidates of their own.
     """
-    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     none = F.array().cast("array<string>")
     spans_of = F.array().cast("array<struct<start:bigint,end:bigint,kind:string>>")
-    staged = df.withColumns({
+    given = [c for c in df.columns if c != "secrets"]
+    moved, _ = aside(df.select(*[F.col(f"`{c}`") for c in given]), ["_base", "_free", *[f"_{k}" for k in KINDS]])
+    names = dict(zip(given, moved.columns))
+    text = F.coalesce(F.col(f"`{names[text_col]}`").cast("string"), F.lit(""))
+    staged = moved.withColumns({
         "_assign": F.when(text.rlike(ASSIGN_HINT), F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(0))).otherwise(none),
         "_access": F.when(F.contains(text, F.lit("AKIA")), F.regexp_extract_all(text, F.lit(ACCESS), F.lit(0))).otherwise(none),
         "_hex": F.regexp_extract_all(text, F.lit(HEX), F.lit(0)),
@@ -174,7 +179,7 @@ def find_secrets(df: DataFrame, text_col: str = "text", parts: bool = False) ->
     every = F.concat("_base", *[random_runs(k) for k in CLASSES])
     ranked = F.array_sort(F.transform(every, lambda x: F.struct(x["start"], F.array_position(order, x["kind"]).alias("rank"), x["end"], x["kind"])))
     out = staged.withColumn("secrets", F.transform(ranked, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
-    return out.drop("_base", "_free", *[f"_{k}" for k in KINDS])
+    return out.select(*[F.col(f"`{names[c]}`").alias(c) for c in given], "secrets")
 
 
 def joined(spans: Column) -> Column:

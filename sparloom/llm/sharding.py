@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import aside, checkpoint
 
 #: Rows that are numbered together by one task.
 ROWS_PER_BUCKET = 20_000
@@ -51,8 +51,15 @@ def number_slots(df: DataFrame, shard_col: str, key: str, order: list[str], n_sh
     A shard may hold any number of rows, so it is cut into buckets by a hash of the columns of order and the row's number; counts of
     buckets give each bucket its first slot, and rows are numbered inside their bucket. Even equal rows thus spread over
     buckets, and no bucket passes about rows_per_bucket rows, however uneven the shards are. df is checkpointed, so that row
-    numbers stay. Repeated rows get slots of their own; an empty table gives an empty table.
+    numbers stay. Repeated rows get slots of their own; an empty table gives an empty table. A column named slot_col is
+    replaced; any other name is kept.
     """
+    if slot_col in df.columns:
+        df = df.drop(slot_col)
+    given = df.columns
+    df, _ = aside(df, ["_row", "_bucket", "_first", "_inside", "_rows"])
+    names = dict(zip(given, df.columns))
+    shard_col, order = names[shard_col], [names[c] for c in order]
     df = checkpoint(df.withColumn("_row", F.monotonically_increasing_id()))
     buckets = max(1, math.ceil(df.count() / rows_per_bucket))
     bucket = F.pmod(F.xxhash64(*[F.col(c) for c in dict.fromkeys([*order, "_row"])]), F.lit(buckets)).cast("int")
@@ -61,4 +68,5 @@ def number_slots(df: DataFrame, shard_col: str, key: str, order: list[str], n_sh
     first = counts.select(shard_col, "_bucket", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_first"))
     inside = F.row_number().over(Window.partitionBy(shard_col, "_bucket").orderBy(*order, "_row")) - 1
     numbered = df.withColumn("_bucket", bucket).withColumn("_inside", inside)
-    return numbered.join(first, [shard_col, "_bucket"]).withColumn(slot_col, F.col("_first") + F.col("_inside")).drop("_bucket", "_first", "_inside", "_row")
+    placed = numbered.join(first, [shard_col, "_bucket"])
+    return placed.withColumn(slot_col, F.col("_first") + F.col("_inside")).select(*[F.col(f"`{names[c]}`").alias(c) for c in given], slot_col)
