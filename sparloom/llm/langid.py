@@ -38,6 +38,8 @@ BLOCK = 128
 
 #: Of every so many pieces one isn't counted for the pairs of letters, but measured by them.
 MEASURED = 4
+#: Measured pieces from which a bound is told; with fewer, no text is judged by its letters.
+ENOUGH = 100
 #: The share of measured pieces that are less likely than the bound, and how many standard errors a short text may lie below it.
 RARE, ERRORS = 0.001, 4.0
 
@@ -77,7 +79,7 @@ class Letters:
 
 def fit_letters(texts: list[str]) -> Letters:
     """Counts of pairs over most pieces, each pair once more; the bound is what all but RARE of the others reach, less a tenth of the way from
-    their mean to it."""
+    their mean to it. With under ENOUGH measured pieces there is no bound."""
     counts = np.ones((256, 256))
     for i, text in enumerate(texts):
         if i % MEASURED:
@@ -96,7 +98,7 @@ def fit_letters(texts: list[str]) -> Letters:
     low = float(np.quantile(full, RARE))
     weight = inside / inside.sum()
     found.spread = float(np.sqrt((weight * likely**2).sum() - (weight * likely).sum() ** 2))
-    found.bound = low - 0.1 * (float(full.mean()) - low)
+    found.bound = low - 0.1 * (float(full.mean()) - low) if len(measured) >= ENOUGH else -np.inf
     return found
 
 
