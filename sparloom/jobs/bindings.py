@@ -34,6 +34,11 @@ def order_part_discount(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _entries(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey", F.round(F.col("l_discount") * 100))
 
 
+def order_part_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders by parts, where the first two lines of every order are for part 0: one column has about half of all entries."""
+    return _entries(table(spark, sf_dir, "lineitem"), "l_orderkey", "if(l_linenumber <= 2, 0, l_partkey)", F.col("l_quantity"))
+
+
 def supplier_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers by parts: a few long rows."""
     return _entries(table(spark, sf_dir, "lineitem"), "l_suppkey", "l_partkey", F.col("l_quantity"))

@@ -59,6 +59,21 @@ def spmm_shuffled_k4(spark: SparkSession, d: str) -> DataFrame:
     return _cells(_spmm(spark, d, strategy="shuffled"))
 
 
+@query
+def spmm_split_k4(spark: SparkSession, d: str) -> DataFrame:
+    """One column has half of the entries."""
+    m, n = _sizes(spark, d)
+    return _cells(product.spmm(B.order_part_hot(spark, d), B.part_vectors(spark, d, 4), m, 4, n, strategy="split"))
+
+
+@query
+def heavy_columns(spark: SparkSession, d: str) -> DataFrame:
+    """The columns that would fill one of PARTS partitions, and how many entries they have."""
+    coo = B.order_part_hot(spark, d)
+    found = coo.where(F.col("col").isin(product.heavy_columns(coo, PARTS)))
+    return found.groupBy("col").agg(F.count(F.lit(1)).alias("entries"))
+
+
 @query
 def spmm_broadcast_k4(spark: SparkSession, d: str) -> DataFrame:
     return _cells(_spmm(spark, d, strategy="broadcast"))

@@ -13,6 +13,7 @@ A = {
     "a3": _LINE.format(row="l_suppkey", col="l_partkey", val="l_quantity", table="lineitem"),
     "a4": _LINE.format(row="greatest(l_suppkey, l_partkey % 100)", col="least(l_suppkey, l_partkey % 100)", val="l_quantity", table="lineitem"),
     "a5": _LINE.format(row="user_id", col="event_id % 500", val="1", table="events"),
+    "a8": _LINE.format(row="l_orderkey", col="CASE WHEN l_linenumber <= 2 THEN 0 ELSE l_partkey END", val="l_quantity", table="lineitem"),
     "a6": _LINE.format(row="l_partkey", col="l_suppkey", val="l_quantity", table="lineitem"),
 }
 M = "(SELECT count(*) FROM orders)"
@@ -77,6 +78,8 @@ _MIX = lambda x: f"(({x}) * {STIR} + ({x}) // 65536 + 1) % {PRIME}"  # noqa: E73
 ORACLE = {
     "spmv_order_part": _product(A["a1"], "SELECT CAST(p_partkey AS BIGINT) AS col, 0 AS z, CAST(p_size AS BIGINT) AS x FROM part", M, 1).replace('i AS "row", z, ', 'i AS "row", ', 1),
     **dict.fromkeys(("spmm_columns_k4", "spmm_shuffled_k4", "spmm_broadcast_k4", "spmm_csr_k4", "spmm_ell_k4", "spmm_hll_k4", "dense_roundtrip"), SPMM),
+    "spmm_split_k4": _product(A["a8"], X.format(k=4), M, 4),
+    "heavy_columns": f"SELECT col, count(*) AS entries FROM ({A['a8']}) GROUP BY col HAVING count(*) * {PARTS} > (SELECT count(*) FROM lineitem)",
     "spmm_blocks_k64": _product(A["a5"], E, "(SELECT max(user_id) + 1 FROM events)", 64),
     "drop_zeros": _DROPPED,
     "mm_roundtrip": _DROPPED,

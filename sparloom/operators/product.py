@@ -12,19 +12,47 @@ from sparloom.operators.layouts import from_layout
 BROADCAST_BYTES = 64 << 20
 #: Sums in one aggregation; wider products go by blocks of columns.
 BLOCK = 32
+#: Columns that are told as heavy at most, and columns that the sketch follows for each of them.
+HEAVY, FOLLOWED = 1024, 16
 
 
 def _zeros(k: int):
     return F.array_repeat(F.lit(0.0), k)
 
 
-def _joined(coo: DataFrame, x: DataFrame, size: int | None, strategy: str) -> DataFrame:
-    """Entries with their row of x. size: bytes of x, None if unknown."""
-    small = size is not None and size <= BROADCAST_BYTES and strategy != "shuffled"
+def heavy_columns(coo: DataFrame, parts: int, most: int = HEAVY) -> list[int]:
+    """Columns with more entries than one of `parts` partitions should have, `most` of them at most, the heaviest first.
+
+    A sketch of frequent columns, of bounded size in every task, is made in one pass; it never misses a column that has more than
+    1 / (FOLLOWED * most) of the entries, and is off by so much at most. Fewer than `parts` columns can be that heavy.
+    """
+    most = max(1, min(most, parts))
+    s = coo.agg(F.expr(f"approx_top_k(col, {most}, {max(FOLLOWED * most, 100)})").alias("top"), F.count(F.lit(1)).alias("nz")).first()
+    return [x["item"] for x in s["top"] or [] if x["item"] is not None and x["count"] * parts > s["nz"]]
+
+
+def _split(coo: DataFrame, x: DataFrame, parts: int, row_bytes: int) -> DataFrame:
+    """Entries with their row of x, where neither side fits in memory: entries of heavy columns stay where they are and meet those rows of x
+    in a broadcast, at most HEAVY rows and BROADCAST_BYTES; the rest are joined by shuffles, in which no column passes a partition's
+    share."""
+    heavy = heavy_columns(coo, parts, max(1, min(HEAVY, BROADCAST_BYTES // max(1, row_bytes))))
+    rest = x.hint("merge")
+    if not heavy:
+        return coo.join(rest, "col")
+    is_heavy = F.col("col").isin(heavy)
+    near = coo.where(is_heavy).join(F.broadcast(x.where(is_heavy)), "col")
+    return near.unionByName(coo.where(~is_heavy).join(rest.where(~is_heavy), "col"))
+
+
+def _joined(coo: DataFrame, x: DataFrame, size: int | None, strategy: str, row_bytes: int) -> DataFrame:
+    """Entries with their row of x. size: bytes of x, None if unknown; row_bytes: of one row."""
+    small = size is not None and size <= BROADCAST_BYTES and strategy not in ("shuffled", "split")
     if strategy == "broadcast" and not small:
         raise ValueError(f"x must have {BROADCAST_BYTES} bytes at most to be broadcast, and n must tell so; it has {size or 'an unknown number'}")
-    x = x.withColumnRenamed("row", "col")
-    return coo.select("row", "col", "val").join(F.broadcast(x) if small else x.hint("merge") if strategy == "shuffled" else x, "col")
+    x, coo = x.withColumnRenamed("row", "col"), coo.select("row", "col", "val")
+    if strategy == "split" or size is not None and not small and strategy != "shuffled":
+        return _split(coo, x, int(coo.sparkSession.conf.get("spark.sql.shuffle.partitions")), row_bytes)
+    return coo.join(F.broadcast(x) if small else x.hint("merge") if strategy == "shuffled" else x, "col")
 
 
 def spmm(coo: DataFrame, x: DataFrame, m: int, k: int, n: int | None = None, strategy: str = "auto", complete: bool = True, dtype: str = "double") -> DataFrame:
@@ -32,21 +60,22 @@ def spmm(coo: DataFrame, x: DataFrame, m: int, k: int, n: int | None = None, str
 
     n: rows of X, by which its size is checked before it is broadcast; unknown, Spark decides. strategy: "columns" sums
     each column in one aggregation, "blocks" goes by BLOCK columns at a time, "auto" takes blocks beyond BLOCK columns,
-    "broadcast" insists on a broadcast, for which n must be given, and "shuffled" on a join by shuffles. Partial sums before the
-    shuffle absorb long rows. complete: give all m rows, also those without entries. dtype "float" rounds the sums to single
+    "broadcast" insists on a broadcast, for which n must be given, and "shuffled" on a plain join by shuffles. "split" is a join by
+    shuffles for columns of any weight, and what is done where X is known to be too large for a broadcast: entries of columns that would
+    fill a partition are left out of the shuffle (see heavy_columns). Partial sums before the shuffle by row absorb long rows. complete: give all m rows, also those without entries. dtype "float" rounds the sums to single
     precision, as read_mm() does the entries.
     """
-    if strategy not in ("auto", "columns", "blocks", "broadcast", "shuffled"):
+    if strategy not in ("auto", "columns", "blocks", "broadcast", "shuffled", "split"):
         raise ValueError(f"unknown strategy {strategy}")
     size = None if n is None else 8 * n * k
     if k <= BLOCK and strategy != "blocks" or strategy == "columns":
-        joined = _joined(coo, x.select("row", "x"), size, strategy)
+        joined = _joined(coo, x.select("row", "x"), size, strategy, 8 * k)
         sums = joined.groupBy("row").agg(*[F.sum(F.col("val") * F.col("x")[z]).alias(f"_{z}") for z in range(k)])
         y = sums.select("row", F.array(*[F.col(f"_{z}") for z in range(k)]).alias("x"))
     else:
         cuts = F.array(*[F.struct(F.lit(b).alias("b"), F.slice("x", b * BLOCK + 1, BLOCK).alias("x")) for b in range(-(-k // BLOCK))])
         # The join moves each entry once; its row of x is cut after it.
-        joined = _joined(coo, x.select("row", "x"), size, strategy)
+        joined = _joined(coo, x.select("row", "x"), size, strategy, 8 * k)
         joined = joined.select("row", "val", F.explode(cuts).alias("_c")).select("row", "val", F.col("_c.b").alias("b"), F.col("_c.x").alias("x"))
         sums = joined.groupBy("row", "b").agg(*[F.sum(F.col("val") * F.get("x", F.lit(z))).alias(f"_{z}") for z in range(BLOCK)])
         part = F.struct("b", F.array(*[F.col(f"_{z}") for z in range(BLOCK)]).alias("x"))
@@ -65,5 +94,5 @@ def spmm_layout(layout: DataFrame, x: DataFrame, m: int, k: int, n: int | None =
 def spmv(coo: DataFrame, v: DataFrame, m: int, n: int | None = None) -> DataFrame:
     """(row, val) = A v for v as (row, val)."""
     size = None if n is None else 8 * n
-    joined = _joined(coo, v.select("row", F.col("val").alias("_v")), size, "auto")
+    joined = _joined(coo, v.select("row", F.col("val").alias("_v")), size, "auto", 8)
     return complete_rows(joined.groupBy("row").agg(F.sum(F.col("val") * F.col("_v")).alias("val")), m, {"val": 0.0})
