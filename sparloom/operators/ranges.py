@@ -6,11 +6,11 @@ import functools
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparloom.functions.numbers import ceil_div, round_up
-from sparloom.operators.prefix import bucket_width
+from sparloom.operators.prefix import bucket_width, prefix_sum
 from sparloom.shared import checkpoint, discard, scratch
 
 #: Rows whose counts one task walks through.
@@ -19,81 +19,106 @@ CHUNK_ROWS = 1 << 18
 GROUP = 64
 
 
-class _Counts:
-    """Running sums of the entries of rows 0 to m - 1: bucket totals are held, a bucket's rows are read when asked for.
+#: Entries that the rows of one fetch may have between them, but for one boundary's.
+FETCH = 1 << 22
 
-    The counts, one number a row, are written once by ranges of rows, so the nonzeros are aggregated once and a bucket's rows are
-    found by the files' statistics.
-    """
+
+class _Counts:
+    """Entries of rows 0 to m - 1, written once by ranges of rows; totals of buckets of rows, about the square root of m in number, are held."""
 
     def __init__(self, nnz: DataFrame, m: int):
         self.spark, self.path = nnz.sparkSession, scratch(nnz.sparkSession)
-        nnz.select("row", "nnz").repartitionByRange("row").sortWithinPartitions("row").write.parquet(self.path)
-        self.nnz, self.m, self.width = self.spark.read.schema("row long, nnz long").parquet(self.path), m, bucket_width(m)
-        bucket = F.floor(F.col("row") / self.width).cast("long").alias("b")
-        totals = np.zeros(ceil_div(m, self.width), np.int64)
-        for b, total in self.nnz.groupBy(bucket).agg(F.sum("nnz")).collect():
-            totals[b] = total
-        self.starts = np.r_[0, np.cumsum(totals)]
-        self.read: dict[int, np.ndarray] = {}
-
-    def bucket(self, b: int) -> np.ndarray:
-        """Sums before each row of the bucket, and after the last."""
-        if b not in self.read:
-            first = b * self.width
-            last = min(self.m, first + self.width)
-            each = np.zeros(last - first, np.int64)
-            for row, n in self.nnz.where((F.col("row") >= first) & (F.col("row") < last)).select("row", "nnz").collect():
-                each[row - first] = n
-            self.read = {k: v for k, v in self.read.items() if k >= b - 1}  # boundaries only move on
-            self.read[b] = self.starts[b] + np.r_[0, np.cumsum(each)]
-        return self.read[b]
-
-    def before(self, row: int) -> int:
-        if row >= self.m:
-            return int(self.starts[-1])
-        return int(self.bucket(row // self.width)[row % self.width])
-
-    def first_reaching(self, total: int) -> int | None:
-        """The least p with a sum before row p of `total` or more; p goes up to m."""
-        if total <= 0:
-            return 0
-        if total > self.starts[-1]:
-            return None
-        b = int(np.searchsorted(self.starts, total, "left")) - 1
-        return b * self.width + int(np.searchsorted(self.bucket(b), total, "left"))
+        self.width = bucket_width(m)
+        bucket = F.floor(F.col("row") / self.width).cast("long").alias("bucket")
+        nnz.where("nnz > 0").select(bucket, "row", F.col("nnz").cast("long").alias("nnz")).repartitionByRange("row").sortWithinPartitions("row").write.parquet(self.path)
+        self.rows = self.spark.read.schema("bucket long, row long, nnz long").parquet(self.path)
+        self.starts, self.longest = np.zeros(ceil_div(m, self.width) + 1, np.int64), 0
+        for r in self.rows.groupBy("bucket").agg(F.sum("nnz").alias("total"), F.max("nnz").alias("longest")).collect():
+            self.starts[r["bucket"] + 1] = r["total"]
+            self.longest = max(self.longest, r["longest"])
+        self.starts = np.cumsum(self.starts)
+
+    def near(self, spans: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows with entries, and the entries before and up to each, of all whose entries reach into one of the spans; one job.
+
+        A span lies between numbers of entries, from the first row on. Only buckets that a span reaches into are read, each in a task of its
+        own, and only the spans' rows come to the driver.
+        """
+        need = []
+        for low, high in spans:
+            first, last = np.searchsorted(self.starts, low, "left"), np.searchsorted(self.starts, high, "left")
+            need += [(b, int(self.starts[b]), low, high) for b in range(max(0, int(first) - 1), min(len(self.starts) - 1, int(last)))]
+        wanted = F.broadcast(self.spark.createDataFrame(need, "bucket long, start long, low long, high long"))
+        inside = F.sum("nnz").over(Window.partitionBy("bucket").orderBy("row"))
+        chosen = self.rows.where(F.col("bucket").isin(sorted({n[0] for n in need})))
+        upto = chosen.withColumn("inside", inside).join(wanted, "bucket").withColumn("upto", F.col("start") + F.col("inside"))
+        near = upto.where((F.col("upto") >= F.col("low")) & (F.col("upto") - F.col("nnz") < F.col("high"))).select("row", "nnz", "upto").toArrow()
+        row, n, end = (near.column(c).to_numpy() for c in ("row", "nnz", "upto"))
+        row, first = np.unique(row, return_index=True)
+        return row, (end - n)[first], end[first]
 
 
 def balanced_ranges(nnz: DataFrame, m: int, parts: int) -> DataFrame:
     """(part, start_row, end_row, nnz): whole rows in `parts` consecutive ranges near equal in entries.
 
     nnz: (row, nnz). Each boundary takes the next quota of entries from the one before it and stops on the nearer side
-    of the row that reaches it. Only bucket totals and the buckets that hold a boundary come to the driver. A row of two
+    of the row that reaches it. So a boundary lies off the sum of the quotas by half of the longest row for each boundary up to it at most,
+    and the rows within these bounds are fetched for many boundaries at once: one job however many parts there are, but that a
+    job fetches rows with about FETCH entries between them, and bounds start anew from where the last one ended. A row of two
     quotas or more leaves later ranges empty; part_loads shows it.
     """
     parts = max(1, min(parts, m))
     counts = _Counts(nnz, m)
+    try:
+        bounds, sums = _boundaries(counts, m, parts)
+    finally:
+        discard(counts.spark, counts.path)
+    rows = [(i, bounds[i], bounds[i + 1], sums[i + 1] - sums[i]) for i in range(parts)]
+    return nnz.sparkSession.createDataFrame(rows, "part long, start_row long, end_row long, nnz long")
+
+
+def _boundaries(counts: _Counts, m: int, parts: int) -> tuple[list[int], list[int]]:
+    """Rows at which ranges begin, and the last one ends, and the entries before them."""
     nz = int(counts.starts[-1])
-    bounds = [0]
+    quotas = [(i + 1) * nz // parts - i * nz // parts for i in range(parts + 1)]
+    bounds, sums = [0], [0]
+    spans: list[tuple[int, int]] = []
+    row = before = upto = np.zeros(0, np.int64)
     for i in range(1, parts):
-        quota = (i + 1) * nz // parts - i * nz // parts
-        s = bounds[-1]
-        if s >= m:
+        goal = sums[-1] + quotas[i]
+        if bounds[-1] >= m or goal > nz:
             bounds.append(m)
+            sums.append(nz)
             continue
-        at = counts.before(s)
-        p = counts.first_reaching(at + quota)
-        if p is None:
-            bounds.append(m)
+        if not quotas[i]:
+            bounds.append(bounds[-1])
+            sums.append(sums[-1])
             continue
-        j = max(s, p - 1)
-        over, under = counts.before(j + 1) - at - quota, quota - (counts.before(j) - at)
-        bounds.append(j + 1 if over < under else j)
-    bounds.append(m)
-    sums = [counts.before(b) for b in bounds]
-    discard(counts.spark, counts.path)
-    rows = [(i, bounds[i], bounds[i + 1], sums[i + 1] - sums[i]) for i in range(parts)]
-    return nnz.sparkSession.createDataFrame(rows, "part long, start_row long, end_row long, nnz long")
+        if not any(low < goal <= high for low, high in spans):
+            spans = _spans(sums[-1], quotas[i:parts], counts.longest, nz)
+            row, before, upto = counts.near(spans)
+        j = int(np.searchsorted(upto, goal, "left"))
+        over, under = int(upto[j]) - goal, goal - int(before[j])
+        bounds.append(int(row[j]) + (over < under))
+        sums.append(int(upto[j] if over < under else before[j]))
+    return bounds + [m], sums + [nz]
+
+
+def _spans(at: int, quotas: list[int], longest: int, nz: int) -> list[tuple[int, int]]:
+    """Where the next boundaries' goals lie, (low, high] of entries: as many as FETCH allows for, one at least; overlapping ones joined."""
+    spans, taken, off = [], 0, 0
+    for q in quotas:
+        at += q
+        low, high = max(0, at - off - 1), min(nz, at + off)
+        taken += high - low
+        if spans and taken > FETCH:
+            break
+        if spans and low <= spans[-1][1]:
+            spans[-1] = (spans[-1][0], max(high, spans[-1][1]))
+        elif low < high:
+            spans.append((low, high))
+        off += ceil_div(longest, 2)
+    return spans
 
 
 def default_capacity(nz: int, m: int) -> int:
@@ -269,10 +294,6 @@ def capacity_blocks(nnz: DataFrame, m: int, capacity: int, chunk_rows: int = CHU
 def consecutive(starts: DataFrame, m: int) -> DataFrame:
     """(block, start_row, end_row) of the ranges that begin at these rows; ranges are numbered and closed by running sums
     over buckets of rows."""
-    from pyspark.sql import Window
-
-    from sparloom.operators.prefix import prefix_sum
-
     width = bucket_width(m)
     numbered = prefix_sum(starts.where(F.col("start_row") < m).withColumn("_one", F.lit(1).cast("long")), "start_row", "_one", "block", width)
     bucket = F.floor(F.col("start_row") / width).cast("long")
