@@ -17,7 +17,8 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder where driver and executors can both write: under the shared checkpoint folder."""
+    """A new folder where driver and executors can both write: under the shared checkpoint folder. It is deleted when the session's
+    driver ends, unless discard() does so before."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local["):
@@ -25,10 +26,16 @@ def scratch(spark: SparkSession) -> str:
         import tempfile
 
         base = tempfile.gettempdir()
-    return f"{base.rstrip('/')}/matrix-{uuid.uuid4().hex}"
+    top = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/matrix-{uuid.uuid4().hex}")
+    files = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(top)
+    files.deleteOnExit(top)
+    return f"{top}/table"
 
 
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a folder that scratch() named, once nothing reads it any more."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if folder.getName() == "table":
+        folder = folder.getParent()
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

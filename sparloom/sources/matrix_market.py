@@ -7,12 +7,13 @@ from __future__ import annotations
 
 import warnings
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from sparloom.functions.numbers import number, printf
+from sparloom.functions.numbers import printf
 from sparloom.meta import BANNER, FIELDS, FORMATS, OBJECTS, SYMMETRIES, MatrixFormatError, MatrixMeta, check_supported, is_valid_typecode
 from sparloom.operators.entries import drop_zeros, mirror_symmetric, pattern_values, rebase
+from sparloom.shared import discard, scratch
 from sparloom.sources.text import head, lines, sequence, tokens, write_lines
 
 
@@ -48,29 +49,33 @@ def read_mm_header(spark: SparkSession, path: str) -> MatrixMeta:
     return MatrixMeta(*kinds, m=m, n=n, nz=nz[0] if nz else None)
 
 
-def _entries(spark: SparkSession, path: str, meta: MatrixMeta, counted: Column | None = None) -> tuple[DataFrame, int]:
-    """Lines after the sizes, checked to be meta.nz in number, and the sum of `counted` over all of them and the size line.
+def _loaded(spark: SparkSession, path: str, meta: MatrixMeta, counted: Column | None = None) -> tuple[DataFrame, int]:
+    """Stored triplets with their file order `seq`, checked to be meta.nz in number, and the sum of `counted` over all of them
+    and the size line.
 
-    One aggregate finds the size line, the first line that isn't a comment, and counts the rest; the lines' numbers are
-    the same in every plan that scans the same files.
+    The text is scanned once: its lines are parsed into a table in the shared folder, and the same scan finds the size line, which is the
+    first line that isn't a comment, and counts the rest. Lines that aren't entries raise when they are read.
     """
     every = lines(spark, path).where(~F.startswith("value", F.lit("%")) & (F.trim("value") != ""))
+    fields = {"row": "bigint", "col": "bigint"} | ({"re": "double", "im": "double"} if meta.field == "complex" else {} if meta.field == "pattern" else {"val": "double"})
+    t = tokens()
+    parsed = {c: F.get(t, F.lit(i)).try_cast(kind) for i, (c, kind) in enumerate(fields.items())}
+    token = lambda i: F.coalesce(F.get(t, F.lit(i)), F.lit("(missing)"))
+    wrong = F.coalesce(*[F.when(parsed[c].isNull(), F.concat(F.lit(f"not a {kind}: "), token(i))) for i, (c, kind) in enumerate(fields.items())])
+    seen = Observation()
     total = F.lit(0) if counted is None else F.coalesce(F.sum(counted), F.lit(0))
-    stat = every.agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("file", "block", "line")).alias("s"), total.cast("long").alias("total")).first()
+    rows = every.observe(seen, F.count(F.lit(1)).alias("n"), F.min(sequence()).alias("s"), total.cast("long").alias("total"))
+    table = scratch(spark)
+    rows.select(*[v.alias(c) for c, v in parsed.items()], wrong.alias("wrong"), "file", "block", "line").write.parquet(table)
+    stat = seen.get
     if stat["n"] - 1 != meta.nz:
+        discard(spark, table)
         raise MatrixFormatError(f"premature end of file: {stat['n'] - 1} entries instead of {meta.nz}" if stat["n"] - 1 < meta.nz else f"{stat['n'] - 1} entries instead of {meta.nz}")
     s = stat["s"]
-    return every.where(~((F.col("file") == s["file"]) & (F.col("block") == s["block"]) & (F.col("line") == s["line"]))), stat["total"]
-
-
-def _triplets(rows: DataFrame, field: str) -> DataFrame:
-    t = tokens()
-    columns = [number(t[0], "bigint").alias("row"), number(t[1], "bigint").alias("col")]
-    if field == "complex":
-        columns += [number(F.get(t, F.lit(2)), "double").alias("re"), number(F.get(t, F.lit(3)), "double").alias("im")]
-    elif field != "pattern":
-        columns.append(number(F.get(t, F.lit(2)), "double").alias("val"))
-    return rows.select(*columns, sequence().alias("seq"))
+    schema = ", ".join([*[f"{c} {kind}" for c, kind in fields.items()], "wrong string, file string, block long, line long"])
+    body = spark.read.schema(schema).parquet(table).where(~((F.col("file") == s["file"]) & (F.col("block") == s["block"]) & (F.col("line") == s["line"])))
+    checked = {c: F.when(F.col("wrong").isNull(), F.col(c)).otherwise(F.raise_error(F.col("wrong")).cast(kind)) for c, kind in fields.items()}
+    return body.select(*[v.alias(c) for c, v in checked.items()], sequence().alias("seq")), stat["total"]
 
 
 def read_mm_raw(spark: SparkSession, path: str) -> tuple[DataFrame, MatrixMeta]:
@@ -81,7 +86,7 @@ def read_mm_raw(spark: SparkSession, path: str) -> tuple[DataFrame, MatrixMeta]:
         raise MatrixFormatError(f"can't read entries of {meta.typecode()}")
     if meta.field == "integer":
         raise MatrixFormatError("unsupported type: integer entries are read by read_mm")
-    return _triplets(_entries(spark, path, meta)[0], meta.field), meta
+    return _loaded(spark, path, meta)[0], meta
 
 
 def read_mm_unsymmetric(spark: SparkSession, path: str) -> tuple[DataFrame, MatrixMeta]:
@@ -89,7 +94,7 @@ def read_mm_unsymmetric(spark: SparkSession, path: str) -> tuple[DataFrame, Matr
     meta = read_mm_header(spark, path)
     if meta.field != "real" or meta.format != "coordinate":
         raise MatrixFormatError(f"only real coordinate files are read here, not {meta.typecode()}")
-    return rebase(_triplets(_entries(spark, path, meta)[0], meta.field)), meta
+    return rebase(_loaded(spark, path, meta)[0]), meta
 
 
 def read_mm(spark: SparkSession, path: str, dtype: str = "double") -> tuple[DataFrame, MatrixMeta]:
@@ -108,9 +113,9 @@ def read_mm(spark: SparkSession, path: str, dtype: str = "double") -> tuple[Data
     kept = F.lit(1) if pattern else F.coalesce((F.get(t, F.lit(2)).try_cast(kind) != 0).cast("int"), F.lit(0))
     at = [F.get(t, F.lit(i)).try_cast("bigint") for i in (0, 1)]
     twice = F.coalesce((at[0] != at[1]).cast("int"), F.lit(0)) if symmetric else F.lit(0)
-    rows, total = _entries(spark, path, meta, kept * (1 + twice))
+    rows, total = _loaded(spark, path, meta, kept * (1 + twice))
     size_line = (1 if pattern else int(meta.nz != 0)) * (1 + int(symmetric and meta.m != meta.n))
-    coo = rebase(_triplets(rows, meta.field))
+    coo = rebase(rows)
     coo = pattern_values(coo) if pattern else drop_zeros(coo.withColumn("val", F.col("val").cast(kind).cast("double")))
     coo = coo.select("row", "col", "val", "seq")
     return mirror_symmetric(coo) if symmetric else coo, meta.with_nz(total - size_line)

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparloom.functions.numbers import number, printf
 from sparloom.meta import MatrixFormatError
 from sparloom.operators.layouts import to_slots
+from sparloom.operators.prefix import COUNTS
+from sparloom.shared import checkpoint
 from sparloom.shared import scratch as scratch
 
 
@@ -52,18 +58,57 @@ def write_lines(body: DataFrame, order: list[str], path: str, header: list[str]
 
 def read_multivector(spark: SparkSession, path: str, rows: int, cols: int) -> DataFrame:
     """(row, x array of cols): number t of the file, whatever its line, is element (t div cols, t mod cols); numbers
-    after the last element are ignored, missing ones raise."""
-    counted = lines(spark, path).withColumn("t", F.filter(tokens(), lambda x: x != "")).withColumn("n", F.size("t").cast("long"))
+    after the last element are ignored, missing ones raise.
+
+    A first scan counts the numbers of each split of the file. Where every line has cols of them, as save_result() writes it, a line is a row,
+    its place known from its split's; else lines are numbered in their split and cut at the borders of rows. Values are
+    shuffled only for rows that lie in several lines.
+    """
+    numbers = F.filter(tokens(), lambda x: x != "")
+    counted = lines(spark, path).withColumn("n", F.size(numbers).cast("long"))
     before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
-    splits = counted.groupBy("file", "block").agg(F.sum("n").alias("n")).select("file", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy("file", "block").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    at = counted.withColumn("_in", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(splits, ["file", "block"])
-    cells = at.select(F.posexplode("t").alias("i", "token"), (F.col("_start") + F.col("_in")).alias("_at")).withColumn("_at", F.col("_at") + F.col("i")).where(F.col("_at") < rows * cols)
-    cells = cells.select(F.floor(F.col("_at") / cols).cast("long").alias("row"), (F.col("_at") % cols).alias("z"), number(F.col("token"), "double").alias("val"))
-    wide = cells.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("z", "val"))).alias("_c"))
-    wide = wide.select("row", F.transform("_c", lambda c: c["val"]).alias("x"))
-    checked = F.when(F.size("x") == cols, F.col("x")).otherwise(F.raise_error(F.lit("the file has too few numbers")).cast("array<double>"))
-    return spark.range(rows).select(F.col("id").alias("row")).join(wide, "row", "left").select("row", checked.alias("x"))
+    splits = counted.groupBy("file", "block").agg(F.sum("n").alias("n"), F.min("n").alias("least"), F.max("n").alias("most"), F.min("line").alias("first"))
+    splits = checkpoint(splits.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))))
+    stat = splits.agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"), F.count(F.lit(1)).alias("splits")).first()
+    if (stat["n"] or 0) < rows * cols:
+        return spark.range(max(rows, 1)).select(F.col("id").alias("row"), F.raise_error(F.lit("the file has too few numbers")).cast("array<double>").alias("x"))
+    splits = splits.select("file", "block", "first", "start")
+    splits = F.broadcast(splits) if stat["splits"] <= COUNTS else splits
+    parsed = lambda t: F.transform(t, lambda x: number(x, "double"))
+    if stat["least"] == stat["most"] == cols:
+        row = F.expr(f"start div {cols}") + F.col("line") - F.col("first")
+        found = lines(spark, path).join(splits, ["file", "block"]).select(row.alias("row"), "value").where(F.col("row") < rows)
+        return found.select("row", parsed(numbers).alias("x"))
+    at = _inside(counted).join(splits, ["file", "block"]).select((F.col("start") + F.col("inside")).alias("at"), "n", numbers.alias("t")).where((F.col("n") > 0) & (F.col("at") < rows * cols))
+    each = at.select("at", "t", F.explode(F.sequence(F.expr(f"at div {cols}"), F.least(F.expr(f"(at + n - 1) div {cols}"), F.lit(rows - 1)))).alias("row"))
+    begin = F.greatest(F.col("row") * cols - F.col("at"), F.lit(0)).cast("int")
+    z = F.greatest(F.col("at") - F.col("row") * cols, F.lit(0)).cast("int")
+    pieces = each.select("row", z.alias("z"), F.slice("t", begin + 1, F.lit(cols) - z).alias("t"))
+    whole = pieces.where(F.size("t") == cols).select("row", parsed("t").alias("x"))
+    cut = pieces.where(F.size("t") < cols).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("z", "t"))).alias("p"))
+    return whole.unionByName(cut.select("row", parsed(F.flatten(F.transform("p", lambda p: p["t"]))).alias("x")))
+
+
+def _inside(counted: DataFrame) -> DataFrame:
+    """counted with `inside`: the numbers before a line in its split. A split is read by one task, line by line."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, upto = None, 0
+        for batch in batches:
+            n = batch.column("n").to_numpy()
+            at = list(zip(batch.column("file").to_pylist(), batch.column("block").to_pylist()))
+            inside = np.zeros(len(n), np.int64)
+            edges = [0, *[i for i in range(1, len(at)) if at[i] != at[i - 1]], len(at)]
+            for a, b in zip(edges, edges[1:]):
+                if b > a:
+                    upto = upto if at[a] == split else 0
+                    split = at[a]
+                    inside[a:b] = upto + np.cumsum(n[a:b]) - n[a:b]
+                    upto += int(n[a:b].sum())
+            yield batch.append_column("inside", pa.array(inside))
+
+    kept = counted.select("value", "file", "block", "n")
+    return kept.mapInArrow(run, "value string, file string, block long, n long, inside long")
 
 
 def save_result(y: DataFrame, path: str, **how) -> None:
