@@ -31,14 +31,15 @@ SAMPLE = 240
 LAYOUTS = 5
 TREES, DEPTH, BINS, SHRINK = 60, 4, 32, 0.2
 
-# Fixed values of HTML: elements without end tag, inline elements, elements whose text is never page text, and what a
-# start tag closes.
+# Fixed values of HTML: elements without end tag, inline elements, other elements that are blocks, elements whose text is never page text,
+# and what a start tag closes. An element of any other name is inline until a block begins in it.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
-RAW = "script|style|noscript|template|iframe|object|textarea|title|svg|math|select|button|audio|video|canvas"
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark math meter nobr output picture progress q rb rp rt rtc ruby s samp small span strike strong sub sup time tt u var".split())
+RAW = "script|style|template|iframe|textarea|title|svg|select|button|audio|video|canvas"
 #: Of these, the elements that reach to the page's end where they have no end tag, and those that `/>` closes.
 TO_END = frozenset("script style textarea title".split())
 SELF_CLOSED = frozenset("svg math".split())
+BLOCK = frozenset("body caption frameset hgroup legend noframes noscript object optgroup option search summary".split())
 CLOSES = {t: frozenset({"p"}) for t in "address article aside blockquote center details dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()} | {
     "li": frozenset({"p", "li"}), "dt": frozenset({"p", "dt", "dd"}), "dd": frozenset({"p", "dt", "dd"}), "option": frozenset({"option"}),
     "tr": frozenset({"p", "td", "th", "tr"}), "td": frozenset({"p", "td", "th"}), "th": frozenset({"p", "td", "th"}), "tbody": frozenset({"p", "td", "th", "tr", "thead", "tbody"}), "tfoot": frozenset({"p", "td", "th", "tr", "thead", "tbody"}),
@@ -90,6 +91,7 @@ class Page:
 def parse(page: str) -> Page:
     tags, parents, hints, marked, runs = ["html"], [-1], [set()], [False], []
     stack: list[tuple[str, int]] = [("html", 0)]
+    waiting: dict[int, tuple[int, set[int], bool]] = {}  # by depth: inline elements of other names, from which piece on, and what they would be
     piece: list[str] = []
     state = {"links": 0, "linked": 0}
 
@@ -98,18 +100,43 @@ def parse(page: str) -> Page:
         if state["links"]:
             state["linked"] += len(text)
 
-    def flush() -> None:
-        text = " ".join(entities.unescape("".join(piece)).split())
+    def flush(upto: int | None = None, owner: int | None = None) -> None:
+        text = " ".join(entities.unescape("".join(piece[:upto])).split())
         if text:
-            runs.append((stack[-1][1], text, state["linked"]))
-        piece.clear()
+            runs.append((stack[-1][1] if owner is None else owner, text, state["linked"]))
+        del piece[:upto]
         state["linked"] = 0
+        for depth, (mark, *rest) in waiting.items():
+            waiting[depth] = (0 if upto is None else max(0, mark - upto), *rest)
+
+    def inline(depth: int) -> bool:
+        return stack[depth][1] == stack[depth - 1][1]
+
+    def node(name: str, owner: int, told: set[int], main: bool) -> int:
+        tags.append(name)
+        parents.append(owner)
+        hints.append(told)
+        marked.append(main)
+        return len(tags) - 1
+
+    def settle() -> None:
+        """Elements of other names that are open become blocks, as a block begins in them; so does their text up to here."""
+        owner = None
+        for depth in range(min(waiting, default=len(stack)), len(stack)):
+            if depth in waiting:
+                owner = stack[depth - 1][1]
+                flush(waiting[depth][0], owner)
+                owner = node(stack[depth][0], owner, *waiting[depth][1:])
+            stack[depth] = (stack[depth][0], owner)
+        waiting.clear()
 
     def pop(depth: int) -> None:
-        if stack[depth][1] != stack[depth - 1][1] or stack[-1][1] != stack[depth - 1][1]:  # a node ends
+        if not inline(depth) or stack[-1][1] != stack[depth - 1][1]:  # a node ends
             flush()
         for t, _ in stack[depth:]:
             state["links"] -= t == "a"
+        for d in [d for d in waiting if d >= depth]:
+            del waiting[d]
         del stack[depth:]
 
     at = 0
@@ -134,20 +161,22 @@ def parse(page: str) -> Page:
         if not name:
             continue
         name = name.lower()
+        block = name in CLOSES or name in BLOCK
         if m["close"] or m["close2"]:
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth][0] == name:
                     pop(depth)
                     break
-                if name in INLINE and stack[depth][0] not in INLINE:
+                if name in INLINE and not inline(depth):
                     break
             continue
         if name in VOID:
-            piece.append(" ")
+            if name != "wbr":
+                piece.append(" ")
             if name == "hr":
                 flush()
             continue
-        if name in ("html", "head"):
+        if name in ("html", "head") or name in SELF_CLOSED and (attrs or "").endswith("/"):
             continue
         shut = CLOSES.get(name)
         if shut:
@@ -159,7 +188,7 @@ def parse(page: str) -> Page:
                     found = depth
                     if name not in SCOPES:
                         break
-                elif t in stop or (name not in SCOPES and t not in INLINE):
+                elif t in stop or (name not in SCOPES and not inline(depth)):
                     break
             if found:
                 pop(found)
@@ -170,19 +199,16 @@ def parse(page: str) -> Page:
                     main = True
                 else:
                     words.update(_SPLIT.split("".join(values).lower()))
-        owner = stack[-1][1]
         told = set().union(*[_HINT[w] for w in words if w in _HINT])
-        if name in INLINE:
+        if not block:
+            if name not in INLINE:
+                waiting[len(stack)] = (len(piece), told, main)
+            stack.append((name, stack[-1][1]))
             state["links"] += name == "a"
-            stack.append((name, owner))
             continue
+        settle()
         flush()
-        tags.append(name)
-        parents.append(owner)
-        hints.append(told)
-        marked.append(main)
-        stack.append((name, len(tags) - 1))
-        state["links"] += name == "a"
+        stack.append((name, node(name, stack[-1][1], told, main)))
     if at < len(page):
         say(page[at:])
     flush()
