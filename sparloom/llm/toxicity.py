@@ -31,7 +31,7 @@ SPREAD = 48
 POSITIVES = 3_000
 UNLABELLED = 9_000
 VOCABULARY = 768
-GRAMS = (4, 5, 6)
+GRAMS = (3, 4, 5, 6)
 LIFT = 3.0
 #: A n-gram is dense in a text where it occurs twice or more, and once or more for so many words. Words that clean texts hold by
 #: chance are so told from a tone that runs through the text, whatever its length.
