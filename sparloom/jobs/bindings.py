@@ -39,6 +39,16 @@ def order_part_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _entries(table(spark, sf_dir, "lineitem"), "l_orderkey", "if(l_linenumber <= 2, 0, l_partkey)", F.col("l_quantity"))
 
 
+def order_part_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders by parts: what was paid, in numbers that are not whole."""
+    return _entries(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey", F.col("l_extendedprice") * (F.lit(1.0) - F.col("l_discount")))
+
+
+def part_prices(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    """(row, x): the parts' prices by 3, 4, ... k + 2."""
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("row"), F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda z: F.col("p_retailprice") / (z + 3)).alias("x"))
+
+
 def supplier_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers by parts: a few long rows."""
     return _entries(table(spark, sf_dir, "lineitem"), "l_suppkey", "l_partkey", F.col("l_quantity"))

@@ -87,6 +87,14 @@ def spmm_float_k4(spark: SparkSession, d: str) -> DataFrame:
     return entries.to_long(product.spmm(quarters, B.part_vectors(spark, d, 4), m, 4, n, dtype="float")).select("row", _long("z").alias("z"), "val")
 
 
+@query
+def spmm_exact_k4(spark: SparkSession, d: str) -> DataFrame:
+    """Products of numbers that are not whole, with sums that have the same bits in any order."""
+    m, n = _sizes(spark, d)
+    y = product.spmm(B.order_part_revenue(spark, d), B.part_prices(spark, d, 4), m, 4, n, exact=True)
+    return entries.to_long(y).select("row", _long("z").alias("z"), "val")
+
+
 @query
 def spmm_blocks_k64(spark: SparkSession, d: str) -> DataFrame:
     m = B.extent(spark, d, "events", "user_id")

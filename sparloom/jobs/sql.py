@@ -32,6 +32,13 @@ LEFT JOIN (SELECT a."row" AS i, x.z, sum(a.val * x.x) AS y FROM ({a}) a JOIN ({x
 
 
 SPMM = _product(A["a1"], X.format(k=4), M, 4)
+_EXACT = f"""WITH p AS (SELECT l_orderkey AS i, z, (l_extendedprice * (1.0::DOUBLE - l_discount)) * (p_retailprice / (z + 3)) AS p FROM lineitem JOIN part ON l_partkey = p_partkey, range(4) AS r(z)),
+top AS (SELECT (SELECT max(abs(l_extendedprice * (1.0::DOUBLE - l_discount))) FROM lineitem) * (SELECT max(abs(p_retailprice / 3)) FROM part) AS t),
+unit AS (SELECT pow(2, floor(log2(t)) - 29) AS a, pow(2, floor(log2(t)) - 59) AS b, pow(2, floor(log2(t)) - 89) AS c FROM top),
+one AS (SELECT i, z, floor(p / a) AS k1, p - floor(p / a) * a AS r1, a, b, c FROM p, unit),
+two AS (SELECT i, z, k1, floor(r1 / b) AS k2, r1 - floor(r1 / b) * b AS r2, a, b, c FROM one),
+sums AS (SELECT i, z, CAST(sum(CAST(k1 AS BIGINT)) AS DOUBLE) * any_value(a) AS high, CAST(sum(CAST(k2 AS BIGINT)) AS DOUBLE) * any_value(b) AS middle, CAST(sum(CAST(floor(r2 / c) AS BIGINT)) AS DOUBLE) * any_value(c) AS low FROM two GROUP BY i, z)
+SELECT g.i AS "row", g.z, coalesce((low + middle) + high, 0) AS val FROM (SELECT i, z FROM range({M}) AS r(i), range(4) AS q(z)) g LEFT JOIN sums USING (i, z)"""
 _SLOTTED = 'SELECT "row", row_number() OVER (PARTITION BY "row" ORDER BY col, val) - 1 AS slot, col, val FROM a1'
 _CNT = 'SELECT i AS "row", count(a."row") AS nnz FROM range({m}) AS r(i) LEFT JOIN ({a}) a ON a."row" = i GROUP BY i'
 _MAX = 'SELECT coalesce(max(n), 0) AS maxnz FROM (SELECT count(*) AS n FROM a1 GROUP BY "row")'
@@ -78,6 +85,7 @@ _MIX = lambda x: f"(({x}) * {STIR} + ({x}) // 65536 + 1) % {PRIME}"  # noqa: E73
 ORACLE = {
     "spmv_order_part": _product(A["a1"], "SELECT CAST(p_partkey AS BIGINT) AS col, 0 AS z, CAST(p_size AS BIGINT) AS x FROM part", M, 1).replace('i AS "row", z, ', 'i AS "row", ', 1),
     **dict.fromkeys(("spmm_columns_k4", "spmm_shuffled_k4", "spmm_broadcast_k4", "spmm_csr_k4", "spmm_ell_k4", "spmm_hll_k4", "dense_roundtrip"), SPMM),
+    "spmm_exact_k4": _EXACT,
     "spmm_split_k4": _product(A["a8"], X.format(k=4), M, 4),
     "heavy_columns": f"SELECT col, count(*) AS entries FROM ({A['a8']}) GROUP BY col HAVING count(*) * {PARTS} > (SELECT count(*) FROM lineitem)",
     "spmm_blocks_k64": _product(A["a5"], E, "(SELECT max(user_id) + 1 FROM events)", 64),

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparloom.operators.entries import complete_rows
@@ -55,7 +57,52 @@ def _joined(coo: DataFrame, x: DataFrame, size: int | None, strategy: str, row_b
     return coo.join(F.broadcast(x) if small else x.hint("merge") if strategy == "shuffled" else x, "col")
 
 
-def spmm(coo: DataFrame, x: DataFrame, m: int, k: int, n: int | None = None, strategy: str = "auto", complete: bool = True, dtype: str = "double") -> DataFrame:
+class _Sums:
+    """How products val * x are added up: plainly, or so that the order plays no part.
+
+    Without order each product is cut at fixed powers of two into three whole numbers of GRID bits, by a bound of all products that is the same
+    for every partitioning. Whole numbers add up exactly in any order, up to 2**(63 - GRID) of them a row; what lies below the
+    last cut, 2**-90 of the bound and less, is left out of each product. The three totals are joined in fixed order.
+    """
+
+    GRID = 30
+
+    def __init__(self, top: float | None = None):
+        self.units = None
+        if top is not None:
+            e = math.frexp(top)[1] if math.isfinite(top) else 1024
+            # Units are kept away from the ends of the doubles' range.
+            self.units = [2.0 ** max(min(e - self.GRID * i, 1000), -1000) for i in (1, 2, 3)]
+
+    def of(self, product: Column, name: str) -> list[Column]:
+        """Aggregates that final() joins."""
+        if self.units is None:
+            return [F.sum(product).alias(f"_{name}")]
+        usual = ~(F.isnan(product) | (F.abs(product) == float("inf")))
+        rest, cut = F.when(usual, product).otherwise(F.lit(0.0)), []
+        for u in self.units:
+            whole = F.floor(rest / u)
+            cut.append(F.sum(whole))
+            rest = rest - whole.cast("double") * u
+        odd = F.sum(F.when(~usual, product))  # infinities and NaN, in any order alike
+        return [c.alias(f"_{name}_{i}") for i, c in enumerate([*cut, odd])]
+
+    def final(self, name: str) -> Column:
+        if self.units is None:
+            return F.col(f"_{name}")
+        high, middle, low = (F.col(f"_{name}_{i}").cast("double") * u for i, u in enumerate(self.units))
+        return (low + middle) + high + F.coalesce(F.col(f"_{name}_3"), F.lit(0.0))
+
+
+def largest_product(coo: DataFrame, x: DataFrame) -> float:
+    """A bound of |val * x|: the largest finite |val| times the largest finite |x|. The same however rows are partitioned."""
+    finite = lambda c: F.when(~F.isnan(c) & (F.abs(c) < float("inf")), F.abs(c))
+    v = coo.agg(F.max(finite(F.col("val")))).first()[0] or 0.0
+    w = x.agg(F.max(F.array_max(F.transform("x", lambda e: F.coalesce(finite(e), F.lit(0.0)))))).first()[0] or 0.0
+    return v * w
+
+
+def spmm(coo: DataFrame, x: DataFrame, m: int, k: int, n: int | None = None, strategy: str = "auto", complete: bool = True, dtype: str = "double", exact: bool = False) -> DataFrame:
     """(row, x array of k) = A X for entries (row, col, val) and X as (row, x array of k); duplicates add up.
 
     n: rows of X, by which its size is checked before it is broadcast; unknown, Spark decides. strategy: "columns" sums
@@ -63,22 +110,24 @@ def spmm(coo: DataFrame, x: DataFrame, m: int, k: int, n: int | None = None, str
     "broadcast" insists on a broadcast, for which n must be given, and "shuffled" on a plain join by shuffles. "split" is a join by
     shuffles for columns of any weight, and what is done where X is known to be too large for a broadcast: entries of columns that would
     fill a partition are left out of the shuffle (see heavy_columns). Partial sums before the shuffle by row absorb long rows. complete: give all m rows, also those without entries. dtype "float" rounds the sums to single
-    precision, as read_mm() does the entries.
+    precision, as read_mm() does the entries. exact: the same bits whatever the partitions, the strategy and the order of entries (see
+    _Sums); one more pass over values, and about the time of three products. Without it the last bits depend on the order.
     """
     if strategy not in ("auto", "columns", "blocks", "broadcast", "shuffled", "split"):
         raise ValueError(f"unknown strategy {strategy}")
     size = None if n is None else 8 * n * k
+    sums_of = _Sums(largest_product(coo, x) if exact else None)
     if k <= BLOCK and strategy != "blocks" or strategy == "columns":
         joined = _joined(coo, x.select("row", "x"), size, strategy, 8 * k)
-        sums = joined.groupBy("row").agg(*[F.sum(F.col("val") * F.col("x")[z]).alias(f"_{z}") for z in range(k)])
-        y = sums.select("row", F.array(*[F.col(f"_{z}") for z in range(k)]).alias("x"))
+        sums = joined.groupBy("row").agg(*[s for z in range(k) for s in sums_of.of(F.col("val") * F.col("x")[z], str(z))])
+        y = sums.select("row", F.array(*[sums_of.final(str(z)) for z in range(k)]).alias("x"))
     else:
         cuts = F.array(*[F.struct(F.lit(b).alias("b"), F.slice("x", b * BLOCK + 1, BLOCK).alias("x")) for b in range(-(-k // BLOCK))])
         # The join moves each entry once; its row of x is cut after it.
         joined = _joined(coo, x.select("row", "x"), size, strategy, 8 * k)
         joined = joined.select("row", "val", F.explode(cuts).alias("_c")).select("row", "val", F.col("_c.b").alias("b"), F.col("_c.x").alias("x"))
-        sums = joined.groupBy("row", "b").agg(*[F.sum(F.col("val") * F.get("x", F.lit(z))).alias(f"_{z}") for z in range(BLOCK)])
-        part = F.struct("b", F.array(*[F.col(f"_{z}") for z in range(BLOCK)]).alias("x"))
+        sums = joined.groupBy("row", "b").agg(*[s for z in range(BLOCK) for s in sums_of.of(F.col("val") * F.get("x", F.lit(z)), str(z))])
+        part = F.struct("b", F.array(*[sums_of.final(str(z)) for z in range(BLOCK)]).alias("x"))
         y = sums.groupBy("row").agg(F.sort_array(F.collect_list(part)).alias("_p"))
         y = y.select("row", F.slice(F.flatten(F.transform("_p", lambda p: p["x"])), 1, k).alias("x"))
     if dtype == "float":
