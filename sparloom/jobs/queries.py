@@ -388,6 +388,37 @@ def row_major(spark: SparkSession, d: str) -> DataFrame:
     return _entry(entries.row_major(B.order_part(spark, d)))
 
 
+def _numbered(df: DataFrame, order: list[str]) -> DataFrame:
+    return prefix.places(df, [], order, "ordinal")
+
+
+@query
+def row_major_order(spark: SparkSession, d: str) -> DataFrame:
+    """Entries with their place in the row-major order, as partitions follow each other and rows stand in them."""
+    dealt = entries.row_major(B.order_part(spark, d)).withColumn("at", F.monotonically_increasing_id())
+    return _numbered(dealt, ["at"]).select("ordinal", "row", "col", _long("val").alias("val"))
+
+
+@query
+def saved_lines(spark: SparkSession, d: str) -> DataFrame:
+    """A saved result's lines, with their places in the file."""
+    path = text.scratch(spark)
+    text.save_result(_spmm(spark, d), path)
+    return _numbered(text.lines(spark, path), ["file", "block", "line"]).select("ordinal", F.col("value").alias("line"))
+
+
+@query
+def csr_dump_lines(spark: SparkSession, d: str) -> DataFrame:
+    """A dump's lines after its header, with their places."""
+    m, n = _sizes(spark, d)
+    path = text.scratch(spark)
+    coo = B.order_part(spark, d)
+    text.save_csr_dump(layouts.to_csr(coo, m), m, n, coo.count(), path)
+    found = _numbered(text.lines(spark, path), ["file", "block", "line"]).where("ordinal > 0")
+    t = F.split(F.regexp_replace("value", " +", " "), " ")
+    return found.select("ordinal", _long(t[0]).alias("row"), _long(t[1]).alias("col"), _long(t[2].cast("double")).alias("val"))
+
+
 @query
 def random_multivector(spark: SparkSession, d: str) -> DataFrame:
     x = generate.random_multivector(spark, B.count(spark, d, "part"), 4, 11)

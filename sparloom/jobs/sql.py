@@ -91,6 +91,9 @@ ORACLE = {
     "spmm_blocks_k64": _product(A["a5"], E, "(SELECT max(user_id) + 1 FROM events)", 64),
     "drop_zeros": _DROPPED,
     "mm_roundtrip": _DROPPED,
+    "row_major_order": _with(a1=A["a1"]) + 'SELECT row_number() OVER (ORDER BY "row", col, val) - 1 AS ordinal, "row", col, val FROM a1',
+    "csr_dump_lines": _with(a1=A["a1"]) + 'SELECT row_number() OVER (ORDER BY "row", col, val) AS ordinal, "row", col, val FROM a1',
+    "saved_lines": f"""SELECT "row" AS ordinal, string_agg(val || ' ', '' ORDER BY z) AS line FROM ({SPMM}) GROUP BY 1""",
     "rebase": _ENTRY,
     "row_major": _ENTRY,
     "strip_padding": _ENTRY,
