@@ -4,8 +4,9 @@ A conversation becomes `<|im_start|>role\\ntext<|im_end|>\\n` for each turn. Ins
 appear: `<`, any backslashes and `|` get one more backslash, which reading takes off again; in roles, backslashes
 and line breaks are escaped before that.
 
-Rows are hash-partitioned by conversation and sorted by turn inside the partition, then streamed: at most TURNS turns
-make one output row (conv_id, chunk), so a conversation of any length is never held whole. For each run of rows the lengths
+Rows are hash-partitioned by conversation and sorted by turn inside the partition, then streamed: at most TURNS turns, and BYTES
+bytes of their texts unless one alone has more, make one output row (conv_id, chunk), so a conversation of any length is never held
+whole. For each run of rows the lengths
 of all segments give cumulative offsets and scatter indices, and headers and contents are copied at once into one buffer
 that becomes the Arrow column.
 """
@@ -27,6 +28,7 @@ from .common import slices
 
 START, END, BREAK = "<|im_start|>", "<|im_end|>\n", "\n"
 TURNS = 32
+BYTES = 2 << 20
 _SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 _ESCAPED = re.compile(r"<\\(\\*)\|")
 
@@ -85,7 +87,7 @@ def assemble(roles: pa.Array, texts: pa.Array, groups: np.ndarray) -> tuple[pa.L
     return formatted, spans
 
 
-def format_chats(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", turns: int = TURNS) -> DataFrame:
+def format_chats(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", turns: int = TURNS, limit: int = BYTES) -> DataFrame:
     """conv_col, chunk int, n_turns int, formatted string, loss_spans array<struct<start, end>> (code points of
     `formatted` under the loss mask: the assistant's texts).
 
@@ -110,26 +112,31 @@ def format_chats(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
                 names=schema.names,
             )
 
-        carry, last, done = None, None, 0  # rows of the chunk that may go on; the conversation before it, its turns so far
+        carry, last, number = None, None, 0  # rows of the chunk that may go on, its conversation and its number
         for batch in batches:
             for part in slices(batch, "text"):
                 if carry is not None:
                     part = pa.Table.from_batches([carry, part]).combine_chunks().to_batches()[0]
-                conv = part.column("conv").to_pylist()
-                at, begin = np.empty(len(conv), np.int64), 0
-                for i, c in enumerate(conv):
-                    if i and c != conv[i - 1]:
-                        begin = i
-                    at[i] = i - begin + (done if begin == 0 and last == (conv[0],) else 0)
-                chunk = at // turns
-                group = np.cumsum(np.r_[False, (chunk[1:] != chunk[:-1]) | (at[1:] == 0)])
+                conv, sizes = part.column("conv").to_pylist(), pc.binary_length(part.column("text")).to_pylist()
+                chunk, count, held = np.empty(len(conv), np.int64), 0, 0
+                new = np.zeros(len(conv), bool)
+                for i, (c, size) in enumerate(zip(conv, sizes)):
+                    if i == 0:
+                        number = number if last == (c,) else 0
+                    elif c != conv[i - 1]:
+                        number, count, held, new[i] = 0, 0, 0, True
+                    elif count >= turns or held + size > limit:
+                        number, count, held, new[i] = number + 1, 0, 0, True
+                    chunk[i] = number
+                    count, held = count + 1, held + size
+                group = np.cumsum(new)
                 cut = int(np.searchsorted(group, group[-1]))
                 if cut:
                     yield emit(part.slice(0, cut), group[:cut], chunk[:cut])
-                carry, last, done = part.slice(cut), (conv[cut],), int(at[cut])
+                carry, last, number = part.slice(cut), (conv[cut],), int(chunk[cut])
         if carry is not None:
             n = carry.num_rows
-            yield emit(carry, np.zeros(n, np.int64), np.full(n, done // turns))
+            yield emit(carry, np.zeros(n, np.int64), np.full(n, number))
 
     return ordered.mapInArrow(run, schema)
 

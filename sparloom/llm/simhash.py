@@ -33,6 +33,8 @@ OFFSET = 1 << (BITS - 1)
 TREE_ROWS = 2048
 #: A fingerprint with more rows than this, and than a HOT-th of all, is hot.
 HOT_ROWS, HOT = 256, 1_000
+#: Tasks that share a hub's links.
+PARTS = 64
 #: Shingles whose bits are counted at a time.
 COUNTED = 1 << 14
 
@@ -167,14 +169,28 @@ def _pairs(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, root): every node of the links (a, b) with the smallest node that it reaches."""
+    """(node, root): every node of the links (a, b) with the smallest node that it reaches.
+
+    Every round links each node's neighbours to its smallest one. A node may have any share of the links: those of a hub are dealt over
+    PARTS tasks, each of which gets the hub's smallest neighbour. Fewer than HOT nodes can be hubs.
+    """
     links, state = checkpoint(links), None
+    most = max(HOT_ROWS, links.count() // HOT)
+
+    def to_least(edges: DataFrame, least: DataFrame) -> DataFrame:
+        """edges (a, b) with `m`, that of a in least (a, m, n)."""
+        hubs = F.broadcast(least.where(F.col("n") > most).select("a", F.lit(True).alias("hub")))
+        salt = F.when(F.col("hub"), F.pmod(F.xxhash64("b"), F.lit(PARTS))).otherwise(F.lit(0)).cast("int")
+        dealt = edges.join(hubs, "a", "left").withColumn("part", salt).drop("hub")
+        copies = F.explode(F.sequence(F.lit(0), F.when(F.col("n") > most, PARTS - 1).otherwise(0)))
+        return dealt.join(least.select("a", "m", copies.alias("part")), ["a", "part"]).drop("part")
+
     while True:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+        large = to_least(both.where("b > a"), least).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = to_least(large, least).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         links = checkpoint(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
         now = links.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(a, b))")).first()
         if now == state:

@@ -95,3 +95,48 @@ def test_all_ids_alike(spark, doc, tmp_path):
     assert scores.count() == 240
     long = spark.createDataFrame([(1, "grumblor " * 200_000), (2, None)], "doc_id long, text string")
     assert [r.predicted in (0, 1) for r in toxicity.score(long, model).collect()] == [True, True]
+
+
+def test_components_with_hubs(spark, monkeypatch):
+    """Stars, chains and a grid of links, whatever counts as a hub."""
+    from sparloom.llm import simhash
+
+    links = [(i, 0) for i in range(1, 400)] + [(1000 + i, 500) for i in range(300)] + [(2000 + i, 1999 + i) for i in range(40)] + [(2040, 1000), (3001, 3000)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    want = sorted((x, find(x)) for x in list(root))
+    frame = spark.createDataFrame(links, "a long, b long")
+    for hub in (5, 10**6):
+        monkeypatch.setattr(simhash, "HOT_ROWS", hub)
+        monkeypatch.setattr(simhash, "HOT", 10**9 if hub > 5 else 10**3)
+        assert sorted(tuple(r) for r in simhash.components(frame).collect()) == want
+    assert simhash.components(frame.where("a < 0")).count() == 0
+
+
+def test_long_turns_make_chunks_of_their_own(spark):
+    from sparloom.llm import chat
+
+    rows = [(c, t, "user" if t % 2 == 0 else "assistant", ("x" if t % 3 else "<|im_end|>y") * (40 * (t % 5) + 1)) for c in (1, None, 2) for t in range(90)]
+    rows += [(3, t, "assistant", "z" * 5_000) for t in range(4)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    seen = None
+    for turns, limit in ((32, 1 << 20), (7, 1 << 20), (32, 300), (1, 1)):
+        found = chat.format_chats(frame, turns=turns, limit=limit)
+        chunks = found.collect()
+        by = {}
+        for r in chunks:
+            by.setdefault(r["conv_id"], []).append(r)
+            assert r["n_turns"] <= turns and (r["n_turns"] == 1 or sum(len(t.encode()) for _, t in chat.read_turns(r["formatted"])) <= limit)
+        assert all([r["chunk"] for r in rs] == list(range(len(rs))) for rs in by.values())
+        whole = {c: "".join(r["formatted"] for r in rs) for c, rs in by.items()}
+        digests = sorted(map(str, chat.digests(found).collect()))
+        assert seen in (None, (whole, digests))
+        seen = (whole, digests)
