@@ -102,6 +102,7 @@ def _refine(rows: DataFrame, b: _Block, kind: type, bins: int, by_id: bool) -> b
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b, live, low, high, need, width = shared.value
         counts = np.zeros((len(live), bins), np.int64)
+        last = high  # what lies beyond the bin with this task's own k-th so far is never asked for
         for _, ids, distances, inside in b.scored(batches, kind):
             inside &= live[:, None]
             if by_id:
@@ -109,10 +110,13 @@ def _refine(rows: DataFrame, b: _Block, kind: type, bins: int, by_id: bool) -> b
                 value = np.broadcast_to(ids, distances.shape)
             else:
                 value = distances
-            inside &= (value >= low[:, None]) & (value <= high[:, None])
+            inside &= (value >= low[:, None]) & (value <= last[:, None])
             q, at = np.nonzero(inside)
             bin_ = ((value[q, at] - low[q]) // width[q]).astype(np.int64)
             counts += np.bincount(q * bins + bin_, minlength=counts.size).reshape(counts.shape)
+            reached = np.cumsum(counts, axis=1) >= need[:, None]
+            within = (reached.argmax(axis=1).astype(np.uint64) + np.uint64(1)) * width - np.uint64(1)
+            last = np.where(reached[:, -1], low + np.minimum(within, high - low), high)
         # A query's k-th of all comes no later than its k-th of this task, so later bins are never asked for.
         before = np.cumsum(counts, axis=1) - counts
         q, at = np.nonzero((counts > 0) & (before < need[:, None]))
