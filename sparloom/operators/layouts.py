@@ -48,10 +48,10 @@ def to_csr(coo: DataFrame, m: int, segment: int | None = None) -> DataFrame:
     """
     if segment:
         placed = _placed(coo)
-        pointers = row_pointers(complete_rows(_counts(placed), m, {"nnz": F.lit(0).cast("long")}), m)
-        cut = _cut(placed, segment).join(pointers, "row", "right").where(F.col("row") < m)
-        filled = cut.withColumns({c: F.coalesce(c, v) for c, v in _empty().items()})
-        return filled.select("row", "first_slot", "irp", "nnz", "ja", "vals")
+        counts = complete_rows(_counts(placed), m, {"nnz": F.lit(0).cast("long")})
+        empty = row_pointers(counts, m).join(counts.where("nnz = 0").select("row"), "row", "left_semi")
+        none = empty.withColumns({c: v for c, v in _empty().items() if c != "irp"})
+        return _cut(placed, segment).unionByName(none).select("row", "first_slot", "irp", "nnz", "ja", "vals")
     rows = grouped_rows(coo, m)
     pointers = row_pointers(rows.select("row", F.size("ja").cast("long").alias("nnz")), m)
     return rows.join(pointers, "row").select("row", "irp", F.size("ja").alias("nnz"), "ja", "vals")
@@ -63,9 +63,10 @@ def _empty() -> dict[str, Column]:
 
 
 def _placed(coo: DataFrame) -> DataFrame:
-    """Entries with their slot and their row's nnz."""
+    """Entries with their slot, their row's nnz, and where their row begins among all entries."""
     named = coo.select("row", "col", F.col("val").cast("double").alias("val"), *(["seq"] if "seq" in coo.columns else []))
-    return places(named, ["row"], _order(coo), "slot", "nnz").select("row", "col", "val", "slot", "nnz")
+    found = places(named, ["row"], _order(coo), "slot", "nnz", "at")
+    return found.select("row", "col", "val", "slot", "nnz", (F.col("at") - F.col("slot")).alias("irp"))
 
 
 def _counts(placed: DataFrame) -> DataFrame:
@@ -74,10 +75,10 @@ def _counts(placed: DataFrame) -> DataFrame:
 
 
 def _cut(placed: DataFrame, segment: int) -> DataFrame:
-    """(row, first_slot, nnz, ja, vals) of rows with entries: one record for every `segment` slots."""
+    """(row, first_slot, irp, nnz, ja, vals) of rows with entries: one record for every `segment` slots."""
     items = F.sort_array(F.collect_list(F.struct("slot", "col", "val")))
-    rows = placed.groupBy("row", F.expr(f"slot div {segment}").alias("_segment")).agg(items.alias("_items"), F.first("nnz").alias("nnz"))
-    return rows.select("row", (F.col("_segment") * segment).alias("first_slot"), "nnz", F.transform("_items", lambda e: e["col"]).alias("ja"), F.transform("_items", lambda e: e["val"]).alias("vals"))
+    rows = placed.groupBy("row", F.expr(f"slot div {segment}").alias("_segment")).agg(items.alias("_items"), F.first("nnz").alias("nnz"), F.first("irp").alias("irp"))
+    return rows.select("row", (F.col("_segment") * segment).alias("first_slot"), "irp", "nnz", F.transform("_items", lambda e: e["col"]).alias("ja"), F.transform("_items", lambda e: e["val"]).alias("vals"))
 
 
 def segment_rows(coo: DataFrame, m: int, segment: int = SEGMENT) -> DataFrame:
@@ -85,10 +86,12 @@ def segment_rows(coo: DataFrame, m: int, segment: int = SEGMENT) -> DataFrame:
     by column and value; first_slot is the place of a segment's first entry in its row, nnz the row's entries. A row without
     entries is one empty segment.
 
-    No record has more than `segment` entries, and no task meets more of a row than it has segments, so a row may have any share of the
+    No record has more than `segment` entries, and segments are dealt by row and place, so a row may have any share of the
     entries. to_slots(), from_layout(), preview(), products and dumps take segments as they take whole rows.
     """
-    return complete_rows(_cut(_placed(coo), segment), m, _empty())
+    placed = _placed(coo)
+    empty = coo.sparkSession.range(m).select(F.col("id").alias("row")).join(_counts(placed).select("row"), "row", "left_anti")
+    return _cut(placed, segment).drop("irp").unionByName(empty.withColumns(_empty())).select("row", "first_slot", "nnz", "ja", "vals")
 
 
 def _pad(rows: DataFrame, width) -> DataFrame:
@@ -165,7 +168,7 @@ def to_hll(coo: DataFrame, m: int, rows_per_hack: int | None = None, segment: in
         last = F.greatest(F.expr(f"(maxnz - 1) div {segment}"), F.lit(0))
         rows = coo.sparkSession.range(m).select(F.col("id").alias("row"), F.floor(F.col("id") / rows_per_hack).cast("long").alias("hack")).join(directory.select("hack", "maxnz"), "hack")
         every = rows.select("hack", "row", "maxnz", F.explode(F.sequence(F.lit(0).cast("long"), last * segment, F.lit(segment).cast("long"))).alias("first_slot"))
-        cut = every.join(_cut(placed, segment).drop("nnz"), ["row", "first_slot"], "left")
+        cut = every.join(_cut(placed, segment).drop("nnz", "irp"), ["row", "first_slot"], "left")
         cut = cut.withColumns({c: F.coalesce(c, _empty()[c]) for c in ("ja", "vals")})
         return _pad(cut, F.least(F.col("maxnz") - F.col("first_slot"), F.lit(segment))).select("hack", "row", "first_slot", "ja", "vals"), directory
     if rows_per_hack is None:

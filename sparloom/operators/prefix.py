@@ -53,8 +53,9 @@ def hack_offsets(directory: DataFrame, hacks: int) -> DataFrame:
     return prefix_sum(padded, "hack", "size", "hack_offset", bucket_width(hacks)).select("hack", "hack_offset")
 
 
-def places(df: DataFrame, keys: list[str], order: list[str], out: str, total: str | None = None, partitions: int | None = None) -> DataFrame:
-    """df with `out` long: a row's place, from 0, among the rows of its keys by `order`; and `total`: how many these are.
+def places(df: DataFrame, keys: list[str], order: list[str], out: str, total: str | None = None, overall: str | None = None, partitions: int | None = None) -> DataFrame:
+    """df with `out` long: a row's place, from 0, among the rows of its keys by `order`; `total`: how many these are; and `overall`: its
+    place among all rows by keys and order.
 
     Numbering has two levels, so that one key may have any share of the rows. Rows are dealt by ranges of keys and order, equal in
     number whatever the keys, and sorted inside; Spark numbers a range's rows one after another. A range holds a key's rows
@@ -68,8 +69,15 @@ def places(df: DataFrame, keys: list[str], order: list[str], out: str, total: st
     part = F.shiftright("_at", 33).alias("_range")
     counts = rows.groupBy(*keys, part).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_rows"))
     inside = Window.partitionBy(*keys)
-    before = F.coalesce(F.sum("_rows").over(inside.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = checkpoint(counts.select(*keys, "_range", (before - F.col("_first")).alias("_by"), F.sum("_rows").over(inside).alias("_all")))
-    starts = F.broadcast(starts) if starts.count() <= COUNTS else starts
-    found = rows.withColumn("_range", part).join(starts, [*keys, "_range"]).withColumn(out, F.col("_at") + F.col("_by"))
-    return found.select(*df.columns, out, *([F.col("_all").alias(total)] if total else []))
+    upto = lambda w: F.coalesce(F.sum("_rows").over(w.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = checkpoint(counts.select(*keys, "_range", (upto(inside) - F.col("_first")).alias("_by"), F.sum("_rows").over(inside).alias("_all")))
+    found = rows.withColumn("_range", part).join(_small(starts), [*keys, "_range"]).withColumn(out, F.col("_at") + F.col("_by"))
+    if overall:
+        ranges = rows.groupBy(part).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+        ranges = checkpoint(ranges.select("_range", (upto(Window.partitionBy()) - F.col("_first")).alias("_before")))  # a row for each range
+        found = found.join(_small(ranges), "_range").withColumn(overall, F.col("_at") + F.col("_before"))
+    return found.select(*df.columns, out, *([F.col("_all").alias(total)] if total else []), *([overall] if overall else []))
+
+
+def _small(counts: DataFrame) -> DataFrame:
+    return F.broadcast(counts) if counts.count() <= COUNTS else counts

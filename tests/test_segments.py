@@ -89,6 +89,19 @@ def test_file_order_is_kept(spark):
     assert {r: [p for g in got if g["row"] == r for p in zip(g["ja"], g["vals"])] for r in range(3)} == by
 
 
+def test_no_join_or_shuffle_by_row_alone(spark, hot):
+    """Arrays are dealt by row and place; only rows without entries, and counts, are joined by row."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for rows in (layouts.to_csr(hot, 50, 64), layouts.segment_rows(hot, 50, 64)):
+            cut = rows._jdf.queryExecution().optimizedPlan().toString().split("\n")
+            first_join = next(i for i, line in enumerate(cut) if "Join Left" in line)
+            assert not any("collect_list" in line for line in cut[first_join:])
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 @pytest.mark.parametrize("counts", [prefix.COUNTS, 0])
 def test_places(spark, monkeypatch, counts):
     monkeypatch.setattr(prefix, "COUNTS", counts)
@@ -97,6 +110,8 @@ def test_places(spark, monkeypatch, counts):
     df = spark.createDataFrame(rows, "k string, v long, u long")
     got = prefix.places(df, ["k"], ["v", "u"], "at", "of", partitions=7).collect()
     assert sorted((r["k"], r["at"], r["v"], r["u"], r["of"]) for r in got) == [(k, i, v, u, len(of)) for k in "abc" for of in [sorted(r[1:] for r in rows if r[0] == k)] for i, (v, u) in enumerate(of)]
+    both = prefix.places(df, ["k"], ["v", "u"], "at", "of", "all", partitions=5).collect()
+    assert [(r["k"], r["v"], r["u"]) for r in sorted(both, key=lambda r: r["all"])] == sorted(rows) and sorted(r["all"] for r in both) == list(range(len(rows)))
     every = prefix.places(df, [], ["v", "u"], "at").collect()
     assert [(r["v"], r["u"]) for r in sorted(every, key=lambda r: r["at"])] == sorted(r[1:] for r in rows)
     assert prefix.places(df.where("v < 0"), ["k"], ["v"], "at").count() == 0
