@@ -236,8 +236,9 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_l
     return network
 
 
-def identify(docs: DataFrame, network: Network | None, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Columns `keep` of docs (all when None) with lang_pred string and score double (0 to 1).
+def identify(docs: DataFrame, network: Network | None, text_col: str = "text", keep: list[str] | None = None, judge: bool = False) -> DataFrame:
+    """Columns `keep` of docs (all when None) with lang_pred string and score double (0 to 1); judge: and `known` boolean, whether the text's letters
+    are likely in a learnt language at all (see Letters), as known_language() tells, in the same pass.
 
     A null text or one without letters is `und` with score 0, and so is every text where nothing could be learnt. Repeated
     rows are predicted alike; an empty table gives no rows.
@@ -249,7 +250,7 @@ def identify(docs: DataFrame, network: Network | None, text_col: str = "text", k
         n = len(texts)
         lettered = pc.match_substring_regex(texts, r"\p{L}").to_numpy(zero_copy_only=False)
         if network is None:
-            return {"lang_pred": pa.array([UNKNOWN] * n), "score": pa.array(np.zeros(n))}
+            return {"lang_pred": pa.array([UNKNOWN] * n), "score": pa.array(np.zeros(n))} | ({"known": pa.array(np.zeros(n, bool))} if judge else {})
         windows, owner, weight = cut_windows(texts)
         total = np.zeros((n, len(network.languages)))
         for i in range(0, len(windows), 4096):
@@ -257,9 +258,11 @@ def identify(docs: DataFrame, network: Network | None, text_col: str = "text", k
         total /= np.maximum(total.sum(axis=1, keepdims=True), 1e-12)
         best = total.argmax(axis=1)
         score = np.where(lettered, total[np.arange(n), best], 0.0)
-        return {"lang_pred": pa.array([network.languages[b] if ok else UNKNOWN for b, ok in zip(best, lettered)]), "score": pa.array(np.clip(score, 0, 1))}
+        told = {"lang_pred": pa.array([network.languages[b] if ok else UNKNOWN for b, ok in zip(best, lettered)]), "score": pa.array(np.clip(score, 0, 1))}
+        return told | ({"known": pa.array(lettered & network.letters.known(texts))} if judge else {})
 
-    return map_arrow(docs, add, [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())], text_col, keep)
+    fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())] + ([T.StructField("known", T.BooleanType())] if judge else [])
+    return map_arrow(docs, add, fields, text_col, keep)
 
 
 def known_language(docs: DataFrame, network: Network, text_col: str = "text") -> DataFrame:
