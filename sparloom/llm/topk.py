@@ -27,8 +27,10 @@ BINS = 1024
 CELLS = 1 << 21
 #: Vectors of a task.
 ROWS = 20_000
-#: Whole sums up to this are exact in double precision.
-EXACT = 1 << 53
+#: Rows of a task's first run; runs double up to CELLS, so that the first ones already tell what later ones needn't count.
+FIRST = 64
+#: Whole sums below these are exact in single and in double precision.
+EXACT_SINGLE, EXACT = 1 << 24, 1 << 53
 #: Scores beyond this raise.
 MOST = 1 << 61
 LONG = 1 << 63
@@ -59,20 +61,30 @@ class _Block:
         self.first, self.last = np.full(n, first, np.uint64), np.full(n, last, np.uint64)
         self.ids_need, self.ids_whole = np.zeros(n, np.int64), np.zeros(n, bool)
 
-    def scored(self, batches: Iterator[pa.RecordBatch], kind: type) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
-        """Runs of rows: (rows, ids as sort keys, distances query by row, which of these count: not a query's own row)."""
-        queries, dim = self.vectors.astype(kind), self.vectors.shape[1]
-        step = max(1, CELLS // len(queries))
+    def scored(self, batches: Iterator[pa.RecordBatch], kind: type, asked: np.ndarray, reach: np.ndarray) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Runs of rows: (rows, their ids as sort keys, then query, row and distance of each score that counts, by query and row).
+
+        What counts is a score of a query that is `asked`, of another row than its own, at a distance of `reach` at most, by query; reach
+        may shrink between runs.
+        """
+        only = np.flatnonzero(asked)
+        queries, top = self.vectors[only].astype(kind), self.top[only]
+        most = max(1, CELLS // max(1, len(only)))
+        size = min(FIRST, most)
         for batch in batches:
-            for at in range(0, batch.num_rows, step):
-                part = batch.slice(at, step)
-                scores = (queries @ _matrix(part.column("_v"), dim, kind).T).astype(np.int64)
-                counts = np.ones(scores.shape, bool)
-                rows = part.column("_row").to_numpy()
-                place = np.minimum(np.searchsorted(self.rows, rows), len(self.rows) - 1)
-                own = np.flatnonzero(self.rows[place] == rows)
-                counts[place[own], own] = False
-                yield part, _key(part.column("_id")), (self.top[:, None] - scores).view(np.uint64), counts
+            at = 0
+            while at < batch.num_rows:
+                part = batch.slice(at, size)
+                at, size = at + part.num_rows, min(2 * size, most)
+                scores = queries @ _matrix(part.column("_v"), queries.shape[1], kind).T
+                least = (top - reach[only].view(np.int64)).astype(kind)
+                if kind is not np.int64:
+                    least = np.nextafter(least, kind(-np.inf))  # it may have been rounded up; what lies below is dropped next
+                q, row = np.nonzero(scores >= least[:, None])
+                distance = (top[q] - scores[q, row].astype(np.int64)).view(np.uint64)
+                q = only[q]
+                counts = (distance <= reach[q]) & (part.column("_row").to_numpy()[row] != self.rows[q])
+                yield part, _key(part.column("_id")), q[counts], row[counts], distance[counts]
 
 
 def _key(ids: pa.Array) -> np.ndarray:
@@ -102,21 +114,20 @@ def _refine(rows: DataFrame, b: _Block, kind: type, bins: int, by_id: bool) -> b
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b, live, low, high, need, width = shared.value
         counts = np.zeros((len(live), bins), np.int64)
-        last = high  # what lies beyond the bin with this task's own k-th so far is never asked for
-        for _, ids, distances, inside in b.scored(batches, kind):
-            inside &= live[:, None]
+        last, seen, due = high.copy(), 0, 0  # what lies beyond the bin with this task's own k-th so far is never asked for
+        for part, ids, q, at, distances in b.scored(batches, kind, live, b.low if by_id else last):
+            value = ids[at] if by_id else distances
+            inside = (value >= low[q]) & (value <= last[q])
             if by_id:
-                inside &= distances == b.low[:, None]
-                value = np.broadcast_to(ids, distances.shape)
-            else:
-                value = distances
-            inside &= (value >= low[:, None]) & (value <= last[:, None])
-            q, at = np.nonzero(inside)
-            bin_ = ((value[q, at] - low[q]) // width[q]).astype(np.int64)
-            counts += np.bincount(q * bins + bin_, minlength=counts.size).reshape(counts.shape)
-            reached = np.cumsum(counts, axis=1) >= need[:, None]
-            within = (reached.argmax(axis=1).astype(np.uint64) + np.uint64(1)) * width - np.uint64(1)
-            last = np.where(reached[:, -1], low + np.minimum(within, high - low), high)
+                inside &= distances == b.low[q]
+            q, value = q[inside], value[inside]
+            np.add.at(counts.reshape(-1), q * bins + ((value - low[q]) // width[q]).astype(np.int64), 1)
+            seen += part.num_rows
+            if seen >= due:  # each time that rows have doubled
+                due = 2 * seen
+                reached = np.cumsum(counts, axis=1) >= need[:, None]
+                within = (reached.argmax(axis=1).astype(np.uint64) + np.uint64(1)) * width - np.uint64(1)
+                last[:] = np.where(reached[:, -1], low + np.minimum(within, high - low), high)
         # A query's k-th of all comes no later than its k-th of this task, so later bins are never asked for.
         before = np.cumsum(counts, axis=1) - counts
         q, at = np.nonzero((counts > 0) & (before < need[:, None]))
@@ -150,10 +161,8 @@ def _passing(rows: DataFrame, b: _Block, kind: type) -> DataFrame:
         b = shared.value
         ids_of = pa.array(b.ids, pa.int64())
         given = np.zeros(len(b.ids), np.int64)
-        for part, ids, distances, counts in b.scored(batches, kind):
-            near = counts & (distances <= b.high[:, None])
-            q, at = np.nonzero(near)
-            far, key = distances[q, at], ids[at]
+        for part, ids, q, at, far in b.scored(batches, kind, np.ones(len(b.ids), bool), b.high):
+            key = ids[at]
             keep = (far < b.low[q]) | b.whole[q]
             tie = ~keep & (far == b.low[q])
             keep |= tie & ((key < b.first[q]) | b.ids_whole[q] & (key <= b.last[q]))
@@ -163,7 +172,7 @@ def _passing(rows: DataFrame, b: _Block, kind: type) -> DataFrame:
             keep[same[given[q[same]] + place < b.ids_need[q[same]]]] = True
             given += np.bincount(q[same], minlength=len(given))
             q, at = q[keep], at[keep]
-            score = b.top[q] - distances[q, at].view(np.int64)
+            score = b.top[q] - far[keep].view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(b.rows[q]), ids_of.take(pa.array(q)), part.column("_id").take(pa.array(at)), pa.array(score)], schema=schema)
 
     return rows.mapInArrow(emit, "_q long, query_id long, vec_id long, score long")
@@ -200,7 +209,8 @@ def top_k(df: DataFrame, is_query: Column, k: int, id_col: str = "vec_id", vecto
     s = rows.agg(F.coalesce(F.max(F.size("_v")), F.lit(0)).alias("dim"), F.coalesce(F.max(norm), F.lit(0.0)).alias("norm"), F.coalesce(F.max(largest), F.lit(0)).alias("x"), F.min("_id").alias("a"), F.max("_id").alias("z"), F.count("_id").alias("n"), F.count(F.lit(1)).alias("all")).first()
     if s["norm"] ** 2 >= MOST:
         raise OverflowError("scores may be beyond 2**61")
-    kind = np.float64 if s["dim"] * s["x"] ** 2 < EXACT else np.int64
+    sums = s["dim"] * s["x"] ** 2
+    kind = np.float32 if sums < EXACT_SINGLE else np.float64 if sums < EXACT else np.int64
     first, last = (s["a"] or 0) + LONG, LONG + (LONG - 1 if s["n"] < s["all"] else s["z"] or 0)
     path = f"{shared_folder(spark)}/top-{uuid.uuid4().hex}"
     empty = spark.createDataFrame([], "_q long, query_id long, vec_id long, score long")

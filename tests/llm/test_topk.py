@@ -56,3 +56,18 @@ def test_large_components(spark):
         searched(spark, [(2, [1e12]), (3, [1.0])], 2)
     with pytest.raises(Exception, match="too large"):
         searched(spark, [(2, [1e300]), (3, [1.0])], 2)
+
+
+@pytest.mark.parametrize("scale", [64.0, 1e6, 1e8])
+def test_many_rows_in_every_precision(spark, scale):
+    """Single, double and whole numbers; a third of the rows share one vector, so that most scores of some queries tie."""
+    rng = random.Random(3)
+    rows = [(i, [0.5, -0.5, 0.25, 0.5] if rng.random() < 1 / 3 else [rng.uniform(-1, 1) for _ in range(4)]) for i in range(1500)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.top_k(df, F.col("vec_id") % 50 == 0, 7, scale=scale).collect()
+    whole = [[math.floor(scale * x) for x in v] for _, v in rows]
+    want = []
+    for i in range(0, 1500, 50):
+        scores = sorted((-sum(a * b for a, b in zip(whole[i], w)), j) for j, w in enumerate(whole) if j != i)
+        want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(scores[:7])]
+    assert in_order((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == in_order(want)
