@@ -33,3 +33,13 @@ def printf(value: Column, pattern: str) -> Column:
         return values.map(lambda v: pattern % v if v is not None else None)
 
     return text(value.cast("double"))
+
+
+def printf_all(values: Column, pattern: str) -> Column:
+    """The numbers of an array, each as printf() writes it, one after another."""
+
+    @F.pandas_udf("string")
+    def text(arrays: pd.Series) -> pd.Series:
+        return arrays.map(lambda x: "".join([pattern % v for v in x]) if x is not None else None)
+
+    return text(values.cast("array<double>"))

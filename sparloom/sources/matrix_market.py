@@ -126,18 +126,14 @@ def write_mm(coo: DataFrame, meta: MatrixMeta, path: str, order: list[str] | Non
     not given; header and sizes first. One pass counts the entries where meta.nz isn't known."""
     if meta.field == "integer":
         raise MatrixFormatError("unsupported type: integer entries aren't written")
-    at = [F.col("row").cast("string"), F.col("col").cast("string")]
-    if meta.field == "complex":
-        at += [printf(F.col("re"), "%20.16g"), printf(F.col("im"), "%20.16g")]
-    elif meta.field != "pattern":
-        at.append(printf(F.col("val"), "%20.16g"))
+    values = ["re", "im"] if meta.field == "complex" else [] if meta.field == "pattern" else ["val"]
+    line = F.concat_ws(" ", F.col("row").cast("string"), F.col("col").cast("string"), *[printf(F.col(v), "%20.16g") for v in values])
     nz = coo.count() if meta.nz is None else meta.nz
     order = order or (["seq"] if "seq" in coo.columns else ["row", "col"])
     header = [f"{BANNER} {meta.typecode()}", f"{meta.m} {meta.n} {nz}"]
-    write_lines(coo.withColumn("line", F.concat_ws(" ", *at)), order, path, header=header, **how)
+    write_lines(coo.select(*dict.fromkeys(["row", "col", *values, *order])), order, path, line, header=header, **how)
 
 
 def write_mm_array_header(spark: SparkSession, m: int, n: int, path: str, field: str = "real", symmetry: str = "general", **how) -> None:
     """Banner and sizes of a dense file."""
-    none = spark.range(0).select(F.lit("").alias("line"), "id")
-    write_lines(none, ["id"], path, header=[f"{BANNER} matrix array {field} {symmetry}", f"{m} {n}"], **how)
+    write_lines(spark.range(0), ["id"], path, F.lit(""), header=[f"{BANNER} matrix array {field} {symmetry}", f"{m} {n}"], **how)

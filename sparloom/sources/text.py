@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparloom.functions.numbers import number, printf
+from sparloom.functions.numbers import number, printf, printf_all
 from sparloom.meta import MatrixFormatError
 from sparloom.operators.layouts import to_slots
 from sparloom.operators.prefix import COUNTS
@@ -46,14 +46,22 @@ def head(spark: SparkSession, path: str, enough) -> list[str]:
         n, got = 4 * n, rows
 
 
-def write_lines(body: DataFrame, order: list[str], path: str, header: list[str] | None = None, mode: str = "errorifexists") -> None:
-    """`line` of body, sorted by `order` over all part files, after the header's lines. The parts, read by name, are the file."""
-    top = header or []
-    body = body.select("line", F.lit(len(top)).alias("_part"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(order)])
-    if top:
-        first = body.sparkSession.createDataFrame([(h, i) for i, h in enumerate(top)], "line string, _part int")
-        body = first.select("line", "_part", *[F.lit(None).cast(t).alias(c) for c, t in body.dtypes[2:]]).unionByName(body)
-    body.orderBy(*[c for c in body.columns if c != "line"]).select("line").write.mode(mode).text(path)
+def lines_in_order(body: DataFrame, order: list[str], line: Column, header: list[str]) -> DataFrame:
+    """(line): the header's lines, then `line` of every row of body, sorted by `order`.
+
+    The columns are sorted, and lines are made of them after that: a sort runs what comes before it twice, once for its ranges, and
+    numbers are shorter than their text. Body should have the columns of order and line only.
+    """
+    body = body.select("*", F.lit(len(header)).alias("_part"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(order)])
+    if header:
+        first = body.sparkSession.createDataFrame([(h, i) for i, h in enumerate(header)], "_head string, _part int")
+        body, line = first.unionByName(body, allowMissingColumns=True), F.coalesce("_head", line)
+    return body.orderBy("_part", *[f"_k{i}" for i in range(len(order))]).select(line.alias("line"))
+
+
+def write_lines(body: DataFrame, order: list[str], path: str, line: Column, header: list[str] | None = None, mode: str = "errorifexists") -> None:
+    """`line` of every row of body, sorted by `order` over all part files, after the header's lines. The parts, read by name, are the file."""
+    lines_in_order(body, order, line, header or []).write.mode(mode).text(path)
 
 
 def read_multivector(spark: SparkSession, path: str, rows: int, cols: int) -> DataFrame:
@@ -112,10 +120,8 @@ def _inside(counted: DataFrame) -> DataFrame:
 
 
 def save_result(y: DataFrame, path: str, **how) -> None:
-    """(row, x) as text: a line for each row, in order, each number as %.16g with a space after it."""
-    cells = y.select("row", F.posexplode("x").alias("z", "v")).withColumn("t", printf(F.col("v"), "%.16g "))
-    body = cells.groupBy("row").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("z", "t"))), lambda c: c["t"]), "").alias("line"))
-    write_lines(body, ["row"], path, **how)
+    """(row, x) as text: a line for each row with numbers, in order, each number as %.16g with a space after it."""
+    write_lines(y.select("row", "x").where(F.size("x") > 0), ["row"], path, printf_all(F.col("x"), "%.16g "), **how)
 
 
 def result_name(matrix_path: str, k: int) -> str:
@@ -123,16 +129,18 @@ def result_name(matrix_path: str, k: int) -> str:
     return f"{matrix_path[:-4]}_{k}.txt"
 
 
+def _slot_line() -> Column:
+    return F.concat_ws(" ", F.col("row").cast("string"), F.col("col").cast("string"), printf(F.col("val"), "%20.19g"))
+
+
 def save_csr_dump(csr: DataFrame, m: int, n: int, nz: int, path: str, **how) -> None:
     """Header `m n nz`, then 0-based `row col value` in row order."""
-    body = to_slots(csr).withColumn("v", printf(F.col("val"), "%20.19g")).select("row", "slot", F.concat_ws(" ", F.col("row").cast("string"), F.col("col").cast("string"), "v").alias("line"))
-    write_lines(body, ["row", "slot"], path, header=[f"{m} {n} {nz}"], **how)
+    write_lines(to_slots(csr), ["row", "slot"], path, _slot_line(), header=[f"{m} {n} {nz}"], **how)
 
 
 def save_ell_dump(ell: DataFrame, m: int, n: int, nz: int, maxnz: int, path: str, **how) -> None:
     """Header `m n nz maxnz`, then every slot of every row, padding (column and value 0) included."""
-    body = to_slots(ell).withColumn("v", printf(F.col("val"), "%20.19g")).select("row", "slot", F.concat_ws(" ", F.col("row").cast("string"), F.col("col").cast("string"), "v").alias("line"))
-    write_lines(body, ["row", "slot"], path, header=[f"{m} {n} {nz} {maxnz}"], **how)
+    write_lines(to_slots(ell), ["row", "slot"], path, _slot_line(), header=[f"{m} {n} {nz} {maxnz}"], **how)
 
 
 def _dump(spark: SparkSession, path: str, fields: int) -> tuple[list[int], DataFrame]:
