@@ -1,4 +1,4 @@
-"""Corpus pipeline: language ID, near-dedup by shingles, benchmark decontamination, secret scans, best-fit packing.
+"""Corpus pipeline: language ID, SimHash near-dedup, benchmark decontamination, secret scans, best-fit packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return docs' own columns. Every stage takes empty
 tables, null, empty and very long texts, null and repeated ids and repeated rows; what it does with them stands in its own text.
@@ -35,7 +35,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles with a Jaccard similarity of 0.8 or more.
+    """One document of each group of near copies: five-word shingles with a Jaccard similarity of 0.8 or more, which is checked for
+    candidates by SimHash fingerprints and BK-trees and, as these don't reach all of them, by keys of minimum hashes.
 
     Texts without words, null ones among them, are one group. Rows that share an id are told apart by their texts; of equal rows,
     with or without an id, one stays.

@@ -1,10 +1,12 @@
-"""Near copies: texts whose sets of word shingles have a Jaccard similarity of `LEAST` or more.
+"""Near copies by SimHash: texts whose sets of word shingles have a Jaccard similarity of `LEAST` or more.
 
 Rows are numbered; equal texts are joined first, by their SHA-256, and go by the number of one of their rows, so that what is shuffled for
-each of a text's keys is short. Each text's set of shingle hashes gets BANDS keys of ROWS minimum hashes
-each; texts that share a key are candidates. Two texts of similarity 0.8 share none with a chance of (1 - 0.8 ** ROWS) ** BANDS,
-5e-7; more alike, less. Every pair of candidates is then compared by the exact Jaccard similarity of their sets, but for
-pairs that are linked already. Only candidates' sets are shuffled. Buckets with the same members are read once; a bucket over
+each of a text's keys is short. Each text gets the fingerprint of simhash.py; BK-trees link those that differ in RADIUS bits or
+fewer, and the texts of a group that these links reach are candidates. Near copies may lie farther apart than any radius that buckets of
+bits can serve (similarity 0.8 makes some 10 of 64 bits differ), so each text's set of shingle hashes also gets BANDS keys of ROWS minimum
+hashes each; texts that share a key are candidates too. Two texts of similarity 0.8 share none with a chance of
+(1 - 0.8 ** ROWS) ** BANDS, 5e-7; more alike, less. Every pair of candidates is then compared by the exact Jaccard similarity of their
+sets, but for pairs that are linked already. Only candidates' sets are shuffled. Buckets with the same members are read once; a bucket over
 BUCKET shingles is dealt over blocks, and each two blocks meet in a group of their own, so no pair is left out.
 """
 
@@ -18,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import simhash
 from .common import aside, binary, checkpoint, map_arrow, written
 from .simhash import _LOWER, components
 
@@ -25,6 +28,8 @@ SHINGLE = 5
 #: The least similarity, as a fraction.
 LEAST = (4, 5)
 ROWS, BANDS = 6, 48
+#: Bits in which linked fingerprints differ at most. They are op5's, of three-word shingles: those of five words lie farther apart.
+RADIUS = 3
 #: Shingles that are hashed by all functions at a time.
 COUNTED = 1 << 10
 #: Shingles of a bucket that aren't dealt over blocks.
@@ -93,8 +98,9 @@ def text_key(text: Column) -> Column:
 
 
 def _sketches(batch: pa.RecordBatch) -> dict:
-    sets = [shingles(t or b"") for t in binary(batch.column("_text")).to_pylist()]
-    return {"_n": pa.array([len(s) for s in sets], pa.int64()), "_bands": pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))}
+    texts = [t or b"" for t in binary(batch.column("_text")).to_pylist()]
+    sets, prints = [shingles(t) for t in texts], [simhash.signed(simhash.fingerprint(t)) for t in texts]
+    return {"_n": pa.array([len(s) for s in sets], pa.int64()), "_bands": pa.array([band_keys(s) for s in sets], pa.list_(pa.int64())), "_fp": pa.array(prints, pa.int64())}
 
 
 def _sets(batch: pa.RecordBatch) -> dict:
@@ -121,12 +127,22 @@ def small(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.limit(SMALL + 1).count() <= SMALL else rows
 
 
+def print_groups(sketches: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(_num, _n, _fp, _value) of the texts whose fingerprint others have or are linked to; _value: the smallest fingerprint of the group."""
+    prints = checkpoint(sketches.groupBy("_fp").agg(F.count(F.lit(1)).alias("_count")))
+    roots = components(simhash.link(prints.select(F.col("_fp").alias("fp")), radius))
+    groups = prints.join(small(roots.withColumnRenamed("node", "_fp")), "_fp", "left").where("root is not null or _count > 1")
+    return sketches.join(small(groups.select("_fp", F.coalesce("root", "_fp").alias("_value"))), "_fp").select("_num", "_n", "_fp", "_value")
+
+
 def link(texts: DataFrame, sketches: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """Links (a, b), b < a, between numbers of distinct texts.
 
-    texts: (_num, _text), with one row at least for each number; sketches: (_num, _n, _bands), one row for each.
+    texts: (_num, _text), with one row at least for each number; sketches: (_num, _n, _bands, _fp), one row for each.
     """
-    rows = sketches.select("_num", "_n", F.posexplode("_bands").alias("_band", "_value"))
+    # Groups of fingerprints are buckets like those of keys, with a number of their own.
+    groups = print_groups(sketches).select("_num", "_n", F.lit(BANDS).alias("_band"), "_value")
+    rows = groups.unionByName(sketches.select("_num", "_n", F.posexplode("_bands").alias("_band", "_value")))
     hashed = F.xxhash64("_num")
     shared = rows.groupBy("_band", "_value").agg(F.count(F.lit(1)).alias("_count"), F.sum("_n").alias("_size"), F.bit_xor(hashed).alias("_mark"), F.sum(F.shiftright(hashed, 24)).alias("_mark2")).where("_count > 1")
     # Of buckets with the same members one is read.
@@ -157,12 +173,12 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     ident, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
     base = written(docs.withColumns({"_row": F.monotonically_increasing_id(), "_key": text_key(text)}))
     slim = base.select(ident.alias("_id"), text.alias("_text"), "_key", "_row")
-    rows = checkpoint(map_arrow(slim, _sketches, [T.StructField("_n", T.LongType()), T.StructField("_bands", T.ArrayType(T.LongType()))], "_text", ["_id", "_key", "_row"]))
+    rows = checkpoint(map_arrow(slim, _sketches, [T.StructField("_n", T.LongType()), T.StructField("_bands", T.ArrayType(T.LongType())), T.StructField("_fp", T.LongType())], "_text", ["_id", "_key", "_row"]))
     # Of equal texts the row that stands for them: the smallest id, null last, and of rows that share it the first. Its number is theirs.
     first = F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_row").alias("row")))
-    distinct = checkpoint(rows.groupBy("_key").agg(first.alias("least"), F.first("_n").alias("_n"), F.first("_bands").alias("_bands")))
-    numbered = distinct.select("least", F.col("least.row").alias("_num"), "_n", "_bands")
-    roots = components(link(slim.select(F.col("_row").alias("_num"), "_text"), numbered.select("_num", "_n", "_bands"), bucket))
+    distinct = checkpoint(rows.groupBy("_key").agg(first.alias("least"), *[F.first(c).alias(c) for c in ("_n", "_bands", "_fp")]))
+    numbered = distinct.select("least", F.col("least.row").alias("_num"), "_n", "_bands", "_fp")
+    roots = components(link(slim.select(F.col("_row").alias("_num"), "_text"), numbered.drop("least"), bucket))
     grouped = numbered.select("least", "_num").join(roots.withColumnRenamed("node", "_num"), "_num", "left").withColumn("root", F.coalesce("root", "_num"))
     stand = grouped.groupBy("root").agg(F.min("least").alias("stand")).select(F.col("stand.row").alias("_row"))
     # All rows but those that stand for a group, each by its number.
