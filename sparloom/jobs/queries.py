@@ -404,7 +404,7 @@ def saved_lines(spark: SparkSession, d: str) -> DataFrame:
     """A saved result's lines, with their places in the file."""
     path = text.scratch(spark)
     text.save_result(_spmm(spark, d), path)
-    return _numbered(text.lines(spark, path), ["file", "block", "line"]).select("ordinal", F.col("value").alias("line"))
+    return text.numbered_lines(spark, path).select(F.col("at").alias("ordinal"), F.col("value").alias("line"))
 
 
 @query
@@ -414,7 +414,7 @@ def csr_dump_lines(spark: SparkSession, d: str) -> DataFrame:
     path = text.scratch(spark)
     coo = B.order_part(spark, d)
     text.save_csr_dump(layouts.to_csr(coo, m), m, n, coo.count(), path)
-    found = _numbered(text.lines(spark, path), ["file", "block", "line"]).where("ordinal > 0")
+    found = text.numbered_lines(spark, path).withColumnRenamed("at", "ordinal").where("ordinal > 0")
     t = F.split(F.regexp_replace("value", " +", " "), " ")
     return found.select("ordinal", _long(t[0]).alias("row"), _long(t[1]).alias("col"), _long(t[2].cast("double")).alias("val"))
 

@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 
 from sparloom.functions.numbers import number, printf, printf_all
 from sparloom.meta import MatrixFormatError
-from sparloom.operators.layouts import to_slots
 from sparloom.operators.prefix import COUNTS
 from sparloom.shared import checkpoint
 from sparloom.shared import scratch as scratch
 
+#: Slots that a task sorts, writes or groups at most, about; where there are few, slots that are worth a task.
+TASK_SLOTS, FEW_SLOTS = 1 << 19, 1 << 14
+
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """(value, file string, block long, line long): text lines; the last three, in this order, sort them as the files, by their
@@ -24,6 +26,28 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select("value", meta["file_path"].alias("file"), meta["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("line"))
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(value, at long): text lines with their places, from 0, in the files as lines() orders them.
+
+    A first scan counts the lines of each split; a line's place comes from its split's and its own number, so lines are neither shuffled
+    nor sorted. Raises where files are split otherwise for the second scan.
+    """
+    every = lines(spark, path)
+    before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = every.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("line").alias("first"))
+    splits = checkpoint(splits.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))))
+    splits = F.broadcast(splits) if splits.count() <= COUNTS else splits
+    inside = F.col("line") - F.col("first")
+    moved = F.raise_error(F.lit("the files were split otherwise while they were read")).cast("bigint")
+    at = F.when(inside.between(F.lit(0), F.col("n") - 1), F.col("start") + inside).otherwise(moved)
+    return every.join(splits, ["file", "block"], "left").select("value", at.alias("at"))
+
+
+def tasks_for(spark: SparkSession, slots: int) -> int:
+    """Tasks for so many slots of a layout: what one of them holds doesn't grow with the layout."""
+    return max(1, -(-slots // TASK_SLOTS), min(spark.sparkContext.defaultParallelism, -(-slots // FEW_SLOTS)))
+
+
 def tokens() -> Column:
     return F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " ")
 
@@ -52,16 +76,22 @@ def lines_in_order(body: DataFrame, order: list[str], line: Column, header: list
     The columns are sorted, and lines are made of them after that: a sort runs what comes before it twice, once for its ranges, and
     numbers are shorter than their text. Body should have the columns of order and line only.
     """
+    body, by = _headed(body, order, header)
+    return body.orderBy(*by).select((F.coalesce("_head", line) if header else line).alias("line"))
+
+
+def _headed(body: DataFrame, order: list[str], header: list[str]) -> tuple[DataFrame, list[str]]:
+    """body with a row for each line of the header, in `_head`, and the columns to sort both by."""
     body = body.select("*", F.lit(len(header)).alias("_part"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(order)])
     if header:
         first = body.sparkSession.createDataFrame([(h, i) for i, h in enumerate(header)], "_head string, _part int")
-        body, line = first.unionByName(body, allowMissingColumns=True), F.coalesce("_head", line)
-    return body.orderBy("_part", *[f"_k{i}" for i in range(len(order))]).select(line.alias("line"))
+        body = first.unionByName(body, allowMissingColumns=True)
+    return body, ["_part", *[f"_k{i}" for i in range(len(order))]]
 
 
 def write_lines(body: DataFrame, order: list[str], path: str, line: Column, header: list[str] | None = None, mode: str = "errorifexists") -> None:
     """`line` of every row of body, sorted by `order` over all part files, after the header's lines. The parts, read by name, are the file."""
-    lines_in_order(body, order, line, header or []).write.mode(mode).text(path)
+    _write(lines_in_order(body, order, line, header or []), path, mode)
 
 
 def read_multivector(spark: SparkSession, path: str, rows: int, cols: int) -> DataFrame:
@@ -133,30 +163,46 @@ def _slot_line() -> Column:
     return F.concat_ws(" ", F.col("row").cast("string"), F.col("col").cast("string"), printf(F.col("val"), "%20.19g"))
 
 
+def slot_lines(layout: DataFrame, slots: int, header: str) -> DataFrame:
+    """(line): the header, then a line for each of the layout's slots, about `slots` in number, in order.
+
+    Whole rows or segments are sorted, by ranges of about TASK_SLOTS slots, and cut into slots after that.
+    """
+    order = ["row", "first_slot"] if "first_slot" in layout.columns else ["row"]
+    body, by = _headed(layout.select(*order, "ja", "vals"), order, [header])
+    dealt = body.repartitionByRange(tasks_for(body.sparkSession, slots), *by).sortWithinPartitions(*by)
+    flat = dealt.select("_head", "row", F.explode_outer(F.arrays_zip("ja", "vals")).alias("_e")).where("_head is not null or _e is not null")
+    flat = flat.select("_head", "row", F.col("_e.ja").alias("col"), F.col("_e.vals").alias("val"))
+    return flat.select(F.coalesce("_head", _slot_line()).alias("line"))
+
+
 def save_csr_dump(csr: DataFrame, m: int, n: int, nz: int, path: str, **how) -> None:
     """Header `m n nz`, then 0-based `row col value` in row order."""
-    write_lines(to_slots(csr), ["row", "slot"], path, _slot_line(), header=[f"{m} {n} {nz}"], **how)
+    _write(slot_lines(csr, nz, f"{m} {n} {nz}"), path, **how)
 
 
 def save_ell_dump(ell: DataFrame, m: int, n: int, nz: int, maxnz: int, path: str, **how) -> None:
     """Header `m n nz maxnz`, then every slot of every row, padding (column and value 0) included."""
-    write_lines(to_slots(ell), ["row", "slot"], path, _slot_line(), header=[f"{m} {n} {nz} {maxnz}"], **how)
+    _write(slot_lines(ell, m * maxnz, f"{m} {n} {nz} {maxnz}"), path, **how)
+
+
+def _write(made: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    made.write.mode(mode).text(path)
 
 
 def _dump(spark: SparkSession, path: str, fields: int) -> tuple[list[int], DataFrame]:
-    """Header numbers, and (row, col, val, seq) of the lines after it. A header has `fields` numbers; where it is as long as an entry, it is
-    the first line of the first file."""
-    top = [r for r in head(spark, path, lambda rows: any(r.strip() for r in rows)) if r.strip()]
+    """Header numbers, and (row, col, val, seq long) of the lines after it; seq: a line's place. A header has `fields` numbers; where it is as
+    long as an entry, it is the first line of the first file that isn't blank."""
+    rows = head(spark, path, lambda rows: any(r.strip() for r in rows))
+    top = [r for r in rows if r.strip()]
     if not top:
         raise MatrixFormatError("the dump is empty")
     numbers = [int(x) for x in top[0].split()]
     if len(numbers) != fields:
         raise MatrixFormatError(f"a header of {fields} numbers is missing")
-    every = lines(spark, path).where(F.trim("value") != "")
-    first = every.agg(F.min(F.struct("file", "block", "line")).alias("s")).first()["s"]
-    body = every.where(~((F.col("file") == first["file"]) & (F.col("block") == first["block"]) & (F.col("line") == first["line"])))
+    body = numbered_lines(spark, path).where((F.trim("value") != "") & (F.col("at") > rows.index(top[0])))
     t = tokens()
-    return numbers, body.select(number(t[0], "bigint").alias("row"), number(t[1], "bigint").alias("col"), number(t[2], "double").alias("val"), sequence().alias("seq"))
+    return numbers, body.select(number(t[0], "bigint").alias("row"), number(t[1], "bigint").alias("col"), number(t[2], "double").alias("val"), F.col("at").alias("seq"))
 
 
 def read_csr_dump(spark: SparkSession, path: str) -> tuple[DataFrame, int, int, int]:
@@ -166,8 +212,28 @@ def read_csr_dump(spark: SparkSession, path: str) -> tuple[DataFrame, int, int,
 
 
 def read_ell_dump(spark: SparkSession, path: str) -> tuple[DataFrame, int, int, int, int]:
-    """((row, ja, vals), m, n, nz, maxnz) of a dump; a row's slots are in the order of its lines."""
+    """((row, ja, vals), m, n, nz, maxnz) of a dump; a row's slots are in the order of its lines.
+
+    Lines of a row that follow each other are one record before they are shuffled: arrays and the place of the first.
+    """
     (m, n, nz, maxnz), entries = _dump(spark, path, 4)
-    items = F.sort_array(F.collect_list(F.struct("seq", "col", "val")))
-    rows = entries.groupBy("row").agg(items.alias("_i"))
-    return rows.select("row", F.transform("_i", lambda e: e["col"]).alias("ja"), F.transform("_i", lambda e: e["val"]).alias("vals")), m, n, nz, maxnz
+    runs = _as_runs(entries).repartition(tasks_for(spark, m * maxnz), "row")
+    items = F.sort_array(F.collect_list(F.struct("seq", "ja", "vals")))
+    rows = runs.groupBy("row").agg(items.alias("_i"))
+    return rows.select("row", *[F.flatten(F.transform("_i", lambda e: e[c])).alias(c) for c in ("ja", "vals")]), m, n, nz, maxnz
+
+
+def _as_runs(entries: DataFrame) -> DataFrame:
+    """Entries (row, col, val, seq) as runs (row, seq, ja, vals) of a row's lines without another line between."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            row, seq = batch.column("row").to_numpy(), batch.column("seq").to_numpy()
+            starts = np.concatenate([[0], 1 + np.flatnonzero((np.diff(row) != 0) | (np.diff(seq) != 1))])
+            ends = pa.array(np.append(starts, len(row)), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, batch.column(c)) for c in ("col", "val")]
+            yield pa.RecordBatch.from_arrays([pa.array(row[starts]), pa.array(seq[starts]), *lists], names=["row", "seq", "ja", "vals"])
+
+    return entries.mapInArrow(run, "row long, seq long, ja array<bigint>, vals array<double>")
