@@ -4,6 +4,7 @@ import glob
 
 from pyspark.sql import functions as F
 
+from sparloom.jobs.queries import REGISTRY
 from sparloom.operators import layouts
 from sparloom.sources import text
 
@@ -51,3 +52,10 @@ def test_rows_whose_lines_lie_apart(spark, tmp_path):
     rows, *_ = text.read_ell_dump(spark, str(tmp_path))
     assert sorted(tuple(r) for r in rows.collect()) == [(0, [1, 4], [1.0, 4.0]), (1, [2, 3], [2.0, 3.0])]
     assert dict(text._dump(spark, str(tmp_path), 4)[1].dtypes)["seq"] == "bigint"
+
+
+def test_csr_dump_lines_keeps_no_sorted_copy_of_its_lines(spark):
+    found = REGISTRY["csr_dump_lines"](spark, "/root/testdata/sf0.001")
+    plan = plan_of(found)
+    assert "FileScan text" in plan and "rangepartitioning" not in plan
+    assert sorted(r.ordinal for r in found.collect()) == list(range(1, 6001))
