@@ -35,6 +35,8 @@ TREE_ROWS = 2048
 HOT_ROWS, HOT = 256, 1_000
 #: Tasks that share a hub's links.
 PARTS = 64
+#: Links up to which TASKS tasks do a round's work, with nodes' smallest neighbours broadcast: two numbers a node, some 25 MB on the driver at most.
+FEW, TASKS = 1 << 17, 8
 #: Shingles whose bits are counted at a time.
 COUNTED = 1 << 14
 
@@ -172,26 +174,35 @@ def components(links: DataFrame) -> DataFrame:
     """(node, root): every node of the links (a, b) with the smallest node that it reaches.
 
     Every round links each node's neighbours to its smallest one. A node may have any share of the links: those of a hub are dealt over
-    PARTS tasks, each of which gets the hub's smallest neighbour. Fewer than HOT nodes can be hubs.
+    PARTS tasks, each of which gets the hub's smallest neighbour. Fewer than HOT nodes can be hubs. No round makes links more; where they are
+    FEW or fewer, they stay where they are and the smallest neighbours come to them, and a round's stages have TASKS tasks each, however
+    many partitions shuffles have: the driver keeps an account of each task, and there are some ten stages a round.
     """
     links, state = checkpoint(links), None
-    most = max(HOT_ROWS, links.count() // HOT)
+    count = links.count()
+    most, few = max(HOT_ROWS, count // HOT), count <= FEW
+
+    def dealt_to_tasks(rows: DataFrame) -> DataFrame:
+        return rows.coalesce(TASKS) if few else rows
 
     def to_least(edges: DataFrame, least: DataFrame) -> DataFrame:
         """edges (a, b) with `m`, that of a in least (a, m, n)."""
+        if few:
+            return edges.join(F.broadcast(least.select("a", "m")), "a")
         hubs = F.broadcast(least.where(F.col("n") > most).select("a", F.lit(True).alias("hub")))
         salt = F.when(F.col("hub"), F.pmod(F.xxhash64("b"), F.lit(PARTS))).otherwise(F.lit(0)).cast("int")
         dealt = edges.join(hubs, "a", "left").withColumn("part", salt).drop("hub")
         copies = F.explode(F.sequence(F.lit(0), F.when(F.col("n") > most, PARTS - 1).otherwise(0)))
         return dealt.join(least.select("a", "m", copies.alias("part")), ["a", "part"]).drop("part")
 
+    links = dealt_to_tasks(links)
     while True:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).select("a", F.least("a", "m").alias("m"), "n")
-        large = to_least(both.where("b > a"), least).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+        least = dealt_to_tasks(both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).select("a", F.least("a", "m").alias("m"), "n"))
+        large = dealt_to_tasks(to_least(both.where("b > a"), least).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        least = dealt_to_tasks(large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")))
         small = to_least(large, least).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        links = checkpoint(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
+        links = checkpoint(dealt_to_tasks(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct()))
         now = links.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(a, b))")).first()
         if now == state:
             break
