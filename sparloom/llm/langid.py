@@ -34,6 +34,8 @@ RATE = 0.01
 UNKNOWN = "und"
 #: Windows that are multiplied at a time.
 BLOCK = 128
+#: Windows that are cut at a time.
+CUT = 1024
 
 
 #: Of every so many pieces one isn't counted for the pairs of letters, but measured by them.
@@ -149,9 +151,12 @@ def cut_windows(texts: pa.Array, size: int = WINDOW) -> tuple[np.ndarray, np.nda
     place = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
     weight = np.minimum(size, length[owner] - place * size)
     start = np.maximum(np.minimum(place * size, length[owner] - size), 0)
-    at = start[:, None] + np.arange(size)
-    inside = at < length[owner][:, None]
-    windows = np.where(inside, body[np.minimum(at + offsets[owner][:, None], max(len(body) - 1, 0))] if len(body) else 0, 0).astype(np.uint8)
+    windows = np.zeros((len(owner), size), np.uint8)
+    for i in range(0, len(owner), CUT):  # places take eight times the bytes
+        part = owner[i : i + CUT]
+        at = start[i : i + CUT, None] + np.arange(size)
+        inside = at < length[part][:, None]
+        windows[i : i + CUT] = np.where(inside, body[np.minimum(at + offsets[part][:, None], len(body) - 1)], 0)
     return windows, owner, weight
 
 
